@@ -1,7 +1,8 @@
 """Exact distribution figures without holding a group in one task.
 
-Values are first counted per distinct value, then per coarse bucket. The ranks
-a percentile needs fall into a few buckets; only those are sorted.
+Values are counted per distinct value, then per coarse bucket. Mean and spread
+come from the bucket sums; the ranks a percentile needs fall into a few
+buckets, and only those are sorted. The source is read once.
 """
 
 from __future__ import annotations
@@ -12,48 +13,117 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERCENTILES = (10, 25, 50, 75, 90)
+BUCKETS_PER_E = 4000
 
 
 def magnitude_bucket(value: Column) -> Column:
-    """Whole number that never falls as `value` grows, 0.2 % of it wide.
+    """Whole number that never falls as `value` grows; 0.025 % of a value wide.
 
     It depends on the value alone and Spark computes log1p with StrictMath, so
     a re-run task on another machine puts a value into the same bucket.
     """
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * 500)).cast("bigint")
+    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * BUCKETS_PER_E)).cast("bigint")
 
 
-def exact_percentiles(
-    df: DataFrame,
+def _bucket_centre(bucket: Column) -> Column:
+    return F.signum(bucket.cast("double")) * F.expm1(
+        (F.abs(bucket) + 0.5).cast("double") / BUCKETS_PER_E
+    )
+
+
+def histogram(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Rows per distinct value: groups, `value`, `weight`."""
+    return (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*groups, (F.col(value).cast("double") + 0.0).alias("value"))
+        .agg(F.count(F.lit(1)).alias("weight"))
+    )
+
+
+def weighted_stats(
+    counted: DataFrame,
     groups: Sequence[str],
-    value: str,
     percents: Sequence[int] = PERCENTILES,
     small_groups: bool = False,
 ) -> DataFrame:
-    """One row per group with columns p10, p25, ... by linear interpolation.
+    """n, mean, std (population), min, max and p10, p25, ... per group.
 
-    Group columns must not be null. Set `small_groups` when the number of
-    groups is fixed by the query: the rank table then has at most
-    groups x 2 x percents rows and is broadcast.
+    `counted` has group columns without nulls, `value` (double) and `weight`;
+    a value may occur in several rows. Percentiles interpolate linearly. Set
+    `small_groups` when the query itself fixes the number of groups: the rank
+    table then has at most groups x 2 x percents rows and is broadcast.
     """
     groups = list(groups)
-    v = F.col(value).cast("double") + 0.0
-    histogram = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, v.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", magnitude_bucket(F.col("_v")))
+    bucketed = counted.withColumn("_bucket", magnitude_bucket(F.col("value")))
+    away = F.col("value") - _bucket_centre(F.col("_bucket"))
+    sizes = bucketed.groupBy(*groups, "_bucket").agg(
+        F.sum("weight").alias("_size"),
+        F.sum(F.col("weight") * away).alias("_away"),
+        F.sum(F.col("weight") * away * away).alias("_away2"),
+        F.min("value").alias("_min"),
+        F.max("value").alias("_max"),
     )
 
     whole = Window.partitionBy(*groups)
-    sizes = histogram.groupBy(*groups, "_bucket").agg(F.sum("_n").alias("_size"))
     edges = sizes.select(
         *groups,
         "_bucket",
-        (F.sum("_size").over(whole.orderBy("_bucket")) - F.col("_size")).alias("_before"),
         "_size",
+        "_away",
+        "_away2",
+        "_min",
+        "_max",
+        (F.sum("_size").over(whole.orderBy("_bucket")) - F.col("_size")).alias("_before"),
         F.sum("_size").over(whole).alias("_total"),
+        (
+            F.sum(F.col("_size") * _bucket_centre(F.col("_bucket")) + F.col("_away")).over(whole)
+            / F.sum("_size").over(whole)
+        ).alias("_mean"),
+    )
+    inner = F.col("_away2") - F.col("_away") * F.col("_away") / F.col("_size")
+    shift = (
+        _bucket_centre(F.col("_bucket")) + F.col("_away") / F.col("_size") - F.col("_mean")
+    )
+    spread = F.sum(F.greatest(inner, F.lit(0.0)) + F.col("_size") * shift * shift)
+    moments = edges.groupBy(*groups).agg(
+        F.max("_total").alias("n"),
+        F.max("_mean").alias("mean"),
+        F.sqrt(spread / F.max("_total")).alias("std"),
+        F.min("_min").alias("min"),
+        F.max("_max").alias("max"),
+    )
+
+    wanted = _wanted_ranks(edges, groups, percents)
+    if small_groups:
+        wanted = F.broadcast(wanted)
+    ordered = (
+        Window.partitionBy(*groups, "_bucket")
+        .orderBy("value")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    placed = bucketed.join(wanted, [*groups, "_bucket"]).select(
+        *groups,
+        "value",
+        "weight",
+        "_ranks",
+        (F.col("_before") + F.sum("weight").over(ordered) - F.col("weight")).alias("_first"),
     )
+    hits = placed.select(
+        *groups,
+        "value",
+        F.explode(
+            F.filter(
+                "_ranks",
+                lambda r: (r["at"] >= F.col("_first"))
+                & (r["at"] < F.col("_first") + F.col("weight")),
+            )
+        ).alias("_r"),
+    )
+    return moments.join(_interpolated(hits, groups, percents), groups)
+
+
+def _wanted_ranks(edges: DataFrame, groups: list[str], percents: Sequence[int]) -> DataFrame:
+    """The buckets that hold a rank some percentile needs, with those ranks."""
 
     def rank(percent: int, side: str) -> Column:
         at = (F.col("_total") - 1) * F.lit(percent) / F.lit(100)
@@ -65,7 +135,7 @@ def exact_percentiles(
         )
 
     ranks = F.array(*[rank(p, side) for p in percents for side in ("low", "high")])
-    wanted = edges.select(
+    return edges.select(
         *groups,
         "_bucket",
         "_before",
@@ -75,73 +145,32 @@ def exact_percentiles(
             & (r["at"] < F.col("_before") + F.col("_size")),
         ).alias("_ranks"),
     ).where(F.size("_ranks") > 0)
-    if small_groups:
-        wanted = F.broadcast(wanted)
 
-    bucket = Window.partitionBy(*groups, "_bucket").orderBy("_v")
-    placed = histogram.join(wanted, [*groups, "_bucket"]).select(
-        *groups,
-        "_v",
-        "_n",
-        "_ranks",
-        (F.col("_before") + F.sum("_n").over(bucket) - F.col("_n")).alias("_first"),
-    )
-    hits = placed.select(
-        *groups,
-        "_v",
-        F.explode(
-            F.filter(
-                "_ranks",
-                lambda r: (r["at"] >= F.col("_first"))
-                & (r["at"] < F.col("_first") + F.col("_n")),
-            )
-        ).alias("_r"),
-    )
 
-    def pick(percent: int, side: str, field: Column) -> Column:
+def _interpolated(hits: DataFrame, groups: list[str], percents: Sequence[int]) -> DataFrame:
+    def pick(percent: int, side: str, field: str) -> Column:
         chosen = (F.col("_r.percent") == percent) & (F.col("_r.side") == side)
-        return F.max(F.when(chosen, field))
-
-    picked = hits.groupBy(*groups).agg(
-        *[
-            column
-            for p in percents
-            for column in (
-                pick(p, "low", F.col("_v")).alias(f"_low{p}"),
-                pick(p, "high", F.col("_v")).alias(f"_high{p}"),
-                pick(p, "low", F.col("_r.share")).alias(f"_share{p}"),
-            )
-        ]
-    )
-    return picked.select(
-        *groups,
-        *[
-            F.when(F.col(f"_share{p}") == 0, F.col(f"_low{p}"))
-            .otherwise(
-                F.col(f"_low{p}") * (1 - F.col(f"_share{p}"))
-                + F.col(f"_high{p}") * F.col(f"_share{p}")
-            )
-            .alias(f"p{p}")
-            for p in percents
-        ],
-    )
+        return F.max(F.when(chosen, F.col(field)))
+
+    def between(percent: int) -> Column:
+        low, high = pick(percent, "low", "value"), pick(percent, "high", "value")
+        share = pick(percent, "low", "_r.share")
+        return F.when(share == 0, low).otherwise(low * (1 - share) + high * share)
+
+    return hits.groupBy(*groups).agg(*[between(p).alias(f"p{p}") for p in percents])
 
 
 def distribution_stats(
     df: DataFrame, groups: Sequence[str], value: str, small_groups: bool = False
 ) -> DataFrame:
     """n, mean, median, population std, p10/p25/p75/p90, min and max per group."""
-    groups = list(groups)
-    v = F.col(value).cast("double")
-    moments = df.groupBy(*groups).agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
+    return stats_columns(
+        weighted_stats(histogram(df, groups, value), groups, small_groups=small_groups), groups
     )
-    ranks = exact_percentiles(df, groups, value, small_groups=small_groups)
-    return moments.join(ranks, groups, "left").select(
+
+
+def stats_columns(stats: DataFrame, groups: Sequence[str]) -> DataFrame:
+    return stats.select(
         *groups,
         "n",
         "mean",
@@ -171,4 +200,4 @@ def approx_distribution(
         F.percentile_approx(v, shares, accuracy).alias("_q"),
     )
     named = [F.col("_q")[i].alias(f"p{p}") for i, p in enumerate(PERCENTILES)]
-    return found.select(*groups, "n", "mean", "std", "min", "max", *named)
+    return stats_columns(found.select(*groups, "n", "mean", "std", "min", "max", *named), groups)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.quantiles import distribution_stats
+from runlens.operators.quantiles import histogram, stats_columns, weighted_stats
 from runlens.operators.signals import signal_class
+from runlens.operators.skew import join_summary
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -202,34 +203,43 @@ def outcome_histogram(runs: DataFrame) -> DataFrame:
 COHORT_METRICS = ("total_tokens", "steps", "wall_clock_seconds")
 
 
+COHORTS = ("non_error", "resolved", "unresolved", "mixed")
+
+
 def cohort_stats(runs: DataFrame, rollup: DataFrame) -> DataFrame:
     """Distribution of tokens, steps and seconds in four cohorts of runs.
 
     Cohorts: non_error, resolved, unresolved (without errors) and mixed (all
-    runs of mixed-outcome instances). There are twelve groups whatever the
-    data, which bounds the rank table that is broadcast.
+    runs of mixed-outcome instances). Runs are counted per value and set of
+    cohorts before they are fanned out to the cohorts. There are twelve groups
+    whatever the data, which bounds the rank table that is broadcast.
     """
     signals = rollup.select(
-        "instance_id", signal_class(F.col("n_resolved"), F.col("n_runs")).alias("_signal")
+        "instance_id",
+        "n_runs",
+        (signal_class(F.col("n_resolved"), F.col("n_runs")) == "mixed").alias("_mixed"),
     )
     ok = ~F.col("reason").eqNullSafe("error")
-    cohorts = F.filter(
-        F.array(
-            F.when(ok, F.lit("non_error")),
-            F.when(F.col("resolved"), F.lit("resolved")),
-            F.when(~F.col("resolved") & ok, F.lit("unresolved")),
-            F.when(F.col("_signal") == "mixed", F.lit("mixed")),
-        ),
-        lambda cohort: cohort.isNotNull(),
+    member = {
+        "non_error": ok,
+        "resolved": F.col("resolved"),
+        "unresolved": ~F.col("resolved") & ok,
+        "mixed": F.col("_mixed"),
+    }
+    flags = [F.coalesce(member[name], F.lit(False)).alias(name) for name in COHORTS]
+    columns = ["instance_id", "reason", "resolved", *COHORT_METRICS]
+    tagged = join_summary(runs.select(*columns), signals, "instance_id", "n_runs").select(
+        *flags, *[F.col(m).cast("double") for m in COHORT_METRICS]
     )
-    # Counting equal runs before the fan-out keeps the twelvefold rows few.
-    tagged = (
-        runs.join(signals, "instance_id", "left")
-        .select(cohorts.alias("_cohorts"), *[F.col(m).cast("double") for m in COHORT_METRICS])
-        .select(F.explode("_cohorts").alias("cohort"), *COHORT_METRICS)
+    long = tagged.unpivot(list(COHORTS), list(COHORT_METRICS), "metric", "measure")
+    counted = histogram(long, [*COHORTS, "metric"], "measure")
+    sets = F.filter(
+        F.array(*[F.when(F.col(name), F.lit(name)) for name in COHORTS]),
+        lambda cohort: cohort.isNotNull(),
     )
-    long = tagged.unpivot(["cohort"], list(COHORT_METRICS), "metric", "value")
-    return distribution_stats(long, ["cohort", "metric"], "value", small_groups=True)
+    fanned = counted.select(F.explode(sets).alias("cohort"), "metric", "value", "weight")
+    groups = ["cohort", "metric"]
+    return stats_columns(weighted_stats(fanned, groups, small_groups=True), groups)
 
 
 def episode_features(steps: DataFrame, patches: DataFrame) -> DataFrame:

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from runlens.functions.verdicts import (
     checked_weight,
-    effective_score,
+    feedback_line,
     score_by_name,
     verifier_passed,
     weight_of,
 )
+from runlens.operators.skew import join_summary
+from runlens.schemas import VERIFIER_STATUSES
 
 
 def session_scores(
@@ -115,51 +117,82 @@ def group_norm_reward(
 ) -> DataFrame:
     """`advantage` = (reward - prompt mean) / (prompt std + eps).
 
-    The per-prompt figures are aggregated first and joined back, so a prompt
-    with very many samples is split by AQE's skew join instead of being sorted
-    into one window task.
+    The per-prompt figures are aggregated first and joined back, so that a
+    prompt with very many samples is never gathered in one window task.
     """
     if ddof not in (0, 1):
         raise ValueError("ddof must be 0 or 1")
     spread = F.stddev_pop if ddof == 0 else F.stddev_samp
     stats = rewards.groupBy(prompt).agg(
-        F.avg(reward).alias("_mean"), spread(reward).alias("_std")
+        F.count(F.lit(1)).alias("_n"),
+        F.avg(reward).alias("_mean"),
+        spread(reward).alias("_std"),
     )
     centred = F.col(reward) - F.col("_mean")
-    return rewards.join(stats, prompt, "left").select(
-        *rewards.columns,
-        F.coalesce(centred / (F.coalesce(F.col("_std"), F.lit(0.0)) + F.lit(eps)), F.lit(0.0)).alias(
-            "advantage"
-        ),
+    width = F.coalesce(F.col("_std"), F.lit(0.0)) + F.lit(eps)
+    return join_summary(rewards, stats, prompt, "_n").select(
+        *rewards.columns, F.coalesce(F.try_divide(centred, width), F.lit(0.0)).alias("advantage")
     )
 
 
-def feedback_message(
-    verdict_lines: Mapping[str, Column], all_pass: Column
-) -> Column:
-    """Feedback text of one turn from one line per configured verifier, nulls skipped."""
-    lines = F.filter(F.array(*verdict_lines.values()), lambda line: line.isNotNull())
+def turn_feedback(verdicts: DataFrame, order: Sequence[str], max_turns: int) -> DataFrame:
+    """`feedback` per turn, one line per verifier in set order.
+
+    Verdicts are (session_id, turn, name, status, score, pass_threshold). The
+    text is empty on the last allowed turn and when everything passed. Codes
+    and scores are aggregated and the text is built afterwards, so no text
+    sits in the aggregation buffers.
+    """
+    name, status = F.col("name"), F.col("status")
+    score, threshold = F.col("score"), F.col("pass_threshold")
+    statuses = F.array(*[F.lit(s) for s in VERIFIER_STATUSES])
+    code = F.array_position(statuses, status)
+
+    def of(check: str, value: Column) -> Column:
+        return F.max(F.when(name == check, value))
+
+    grouped = verdicts.groupBy("session_id", "turn").agg(
+        F.bool_and(verifier_passed(status, score, threshold)).alias("_all"),
+        *[
+            column
+            for i, check in enumerate(order)
+            for column in (
+                of(check, code).alias(f"_status{i}"),
+                of(check, score).alias(f"_score{i}"),
+                of(check, threshold).alias(f"_threshold{i}"),
+            )
+        ],
+    )
+    lines = [
+        F.when(
+            F.col(f"_status{i}").isNotNull(),
+            feedback_line(
+                F.lit(check),
+                F.element_at(statuses, F.col(f"_status{i}").cast("int")),
+                F.col(f"_score{i}"),
+                F.col(f"_threshold{i}"),
+            ),
+        )
+        for i, check in enumerate(order)
+    ]
+    silent = F.col("_all") | (F.col("turn") == max_turns - 1)
+    message = feedback_message(lines, F.col("_all"))
+    return grouped.select(
+        "session_id", "turn", F.when(silent, F.lit("")).otherwise(message).alias("feedback")
+    )
+
+
+def feedback_message(lines: Sequence[Column], all_pass: Column) -> Column:
+    """Feedback text from one line per verifier; null lines are skipped."""
+    given = F.filter(F.array(*lines), lambda line: line.isNotNull())
     footer = F.when(all_pass, F.lit("\nAll checks passed.")).otherwise(
         F.lit("\nPlease revise your solution to address the issues above.")
     )
     return F.array_join(
         F.concat(
             F.array(F.lit("Your solution was evaluated. Here is the feedback:\n")),
-            lines,
+            given,
             F.array(footer),
         ),
         "\n",
     )
-
-
-__all__ = [
-    "all_passed",
-    "batch_accuracy",
-    "effective_score",
-    "feedback_message",
-    "group_norm_reward",
-    "join_weights",
-    "latest_verdicts",
-    "scheduled_verdicts",
-    "session_scores",
-]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.running import running
+from runlens.schemas import EPISODE_REASONS
 
 ATTEMPTS_PER_PART = 1000
 
@@ -25,36 +26,35 @@ def session_replay(turns: DataFrame, has_verifiers: bool = True) -> DataFrame:
     """
     passing = F.col("all_passed") if has_verifiers else F.lit(False)
     at = F.when(passing, F.col("turn"))
-    stopped = F.col("_stop").isNotNull()
+    # Passing turns come first in ascending order, the others last in
+    # descending order, so that one text per session is carried.
+    preference = F.coalesce(at, F.lit(2**62) - F.col("turn"))
     return (
         turns.groupBy("session_id")
         .agg(
             F.min(at).alias("_stop"),
             F.max("turn").alias("_last"),
-            F.min_by("output", at).alias("_stop_output"),
-            F.max_by("output", "turn").alias("_last_output"),
+            F.min_by("output", preference).alias("final_output"),
         )
         .select(
             "session_id",
-            F.when(stopped, F.col("_stop_output"))
-            .otherwise(F.col("_last_output"))
-            .alias("final_output"),
+            "final_output",
             (F.coalesce("_stop", "_last") + 1).alias("num_turns"),
-            stopped.alias("stopped_early"),
+            F.col("_stop").isNotNull().alias("stopped_early"),
         )
     )
 
 
 def kept_turns(turns: DataFrame) -> DataFrame:
     """The turns up to the first passing one of each session."""
-    stops = turns.groupBy("session_id").agg(
-        F.min(F.when(F.col("all_passed"), F.col("turn"))).alias("_stop")
-    )
-    return (
-        turns.join(stops, "session_id")
-        .where(F.col("_stop").isNull() | (F.col("turn") <= F.col("_stop")))
-        .drop("_stop")
+    seen = running(
+        turns,
+        ["session_id"],
+        "turn",
+        {"_passed_before": ("max", F.col("all_passed"))},
+        inclusive=False,
     )
+    return seen.where(~F.coalesce("_passed_before", F.lit(False))).drop("_passed_before")
 
 
 def token_budget(
@@ -111,37 +111,44 @@ def streak_end(streaks: DataFrame, position: str = "turn") -> DataFrame:
     )
 
 
+def _opens_with_system(messages: DataFrame, more: dict | None = None) -> DataFrame:
+    """Messages with `_start`, the number of initial ones: system and user, or user."""
+    system = F.col("role") == "system"
+    seen = running(
+        messages,
+        ["session_id"],
+        "turn",
+        {"_system": ("first", system), **(more or {})},
+        inclusive=False,
+    )
+    return seen.withColumn("_start", F.when(F.coalesce("_system", system), 2).otherwise(1))
+
+
 def context_blocks(messages: DataFrame) -> DataFrame:
     """Attempt and feedback blocks of a conversation, one row each.
 
     The initial messages (system and user, or user alone) are left out; a user
     message counts as feedback only right behind an attempt.
     """
-    opened = running(
+    spoken = F.col("role") == "assistant"
+    seen = _opens_with_system(
         messages,
-        ["session_id"],
-        "turn",
-        {"_first_role": ("first", F.col("role"))},
-    )
-    start = F.when(F.col("_first_role") == "system", 2).otherwise(1)
-    attempt = (F.col("role") == "assistant") & (F.col("turn") >= start)
-    flagged = opened.withColumn("_attempt", attempt)
-    counted = running(
-        flagged,
-        ["session_id"],
-        "turn",
         {
-            "_before": ("sum", F.col("_attempt").cast("bigint")),
-            "_after": ("last", F.col("_attempt")),
+            "_later": ("sum", (spoken & (F.col("turn") >= 2)).cast("bigint")),
+            "_second": ("max", F.when(F.col("turn") == 1, spoken)),
+            "_previous": ("last", spoken),
         },
-        inclusive=False,
     )
-    number = F.col("_before") + F.col("_attempt").cast("bigint")
-    feedback = (F.col("role") == "user") & F.coalesce(F.col("_after"), F.lit(False))
-    title = F.when(F.col("_attempt"), F.lit("### Attempt ")).otherwise(
-        F.lit("### Feedback on Attempt ")
+    attempt = spoken & (F.col("turn") >= F.col("_start"))
+    second = F.coalesce("_second", F.lit(False)) & (F.col("_start") == 1)
+    number = F.col("_later") + second.cast("bigint") + attempt.cast("bigint")
+    feedback = (
+        (F.col("role") == "user")
+        & F.coalesce("_previous", F.lit(False))
+        & (F.col("turn") > F.col("_start"))
     )
-    return counted.where(F.col("_attempt") | feedback).select(
+    title = F.when(attempt, F.lit("### Attempt ")).otherwise(F.lit("### Feedback on Attempt "))
+    return seen.where(attempt | feedback).select(
         "session_id",
         "turn",
         number.alias("attempt"),
@@ -168,16 +175,10 @@ def prior_context(messages: DataFrame, attempts_per_part: int = ATTEMPTS_PER_PAR
 
 def attempt_index(messages: DataFrame) -> DataFrame:
     """Index of each model call from the number of messages before it."""
-    counted = running(
-        messages,
-        ["session_id"],
-        "turn",
-        {"_first_role": ("first", F.col("role"))},
-    )
-    start = F.when(F.col("_first_role") == "system", 2).otherwise(1)
-    return counted.where(F.col("role") == "assistant").select(
+    opened = _opens_with_system(messages)
+    return opened.where(F.col("role") == "assistant").select(
         *messages.columns,
-        F.floor((F.col("turn") - start) / 2).cast("bigint").alias("attempt_index"),
+        F.floor((F.col("turn") - F.col("_start")) / 2).cast("bigint").alias("attempt_index"),
     )
 
 
@@ -253,16 +254,26 @@ def step_reason(
 
 def episode_reason(steps: DataFrame, reason: str = "reason", position: str = "step") -> DataFrame:
     """First ending step of each episode and its reason, max_steps when none ends it."""
-    at = F.when(F.col(reason).isNotNull(), F.col(position))
+    code = F.array_position(F.array(*[F.lit(r) for r in EPISODE_REASONS]), F.col(reason))
+    known = F.when(code > 0, code).otherwise(
+        F.raise_error(F.concat(F.lit("unknown reason: "), F.col(reason)))
+    )
+    # Step and reason in one number keep the aggregate in fixed-size buffers.
+    packed = F.when(
+        F.col(reason).isNotNull(), F.col(position).cast("bigint") * 16 + known.cast("bigint")
+    )
+    first = F.col("_first")
     return (
         steps.groupBy("session_id")
-        .agg(
-            F.min_by(reason, at).alias("_reason"),
-            F.coalesce(F.min(at), F.max(position)).alias("end_step"),
-        )
+        .agg(F.min(packed).alias("_first"), F.max(position).alias("_last"))
         .select(
             "session_id",
-            F.coalesce("_reason", F.lit("max_steps")).alias("reason"),
-            "end_step",
+            F.coalesce(
+                F.try_element_at(
+                    F.array(*[F.lit(r) for r in EPISODE_REASONS]), (first % 16).cast("int")
+                ),
+                F.lit("max_steps"),
+            ).alias("reason"),
+            F.coalesce(F.floor(first / 16), F.col("_last")).alias("end_step"),
         )
     )

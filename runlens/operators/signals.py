@@ -15,19 +15,23 @@ RUNS_PER_RECORD = 1000
 
 
 def instance_rollup(runs: DataFrame, instances: DataFrame | None = None) -> DataFrame:
-    """One row per instance; with `instances`, those without runs appear with 0.0."""
-    rolled = runs.groupBy("instance_id").agg(
-        F.min("repo").alias("repo"),
+    """One row per instance; with `instances`, those without runs appear with 0.0.
+
+    The repo belongs to the instance: it is a grouping key or comes from
+    `instances`, which keeps text out of the aggregation buffers.
+    """
+    keys = ["instance_id"] if instances is not None else ["instance_id", "repo"]
+    rolled = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.count_if("resolved").alias("n_resolved"),
         F.sum(F.col("steps").cast("bigint")).alias("sum_steps"),
         F.sum("total_tokens").alias("sum_tokens"),
     )
     if instances is not None:
-        named = instances.select("instance_id", F.col("repo").alias("_repo"))
+        named = instances.select("instance_id", "repo")
         rolled = named.join(rolled, "instance_id", "left").select(
             "instance_id",
-            F.coalesce("_repo", "repo").alias("repo"),
+            "repo",
             *[
                 F.coalesce(name, F.lit(0)).cast("bigint").alias(name)
                 for name in ("n_runs", "n_resolved", "sum_steps", "sum_tokens")

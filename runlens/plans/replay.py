@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.functions import verdicts as vd
 from runlens.functions.text import word_count
 from runlens.operators import scoring, sessions
 from runlens.plans.registry import query
@@ -148,25 +147,7 @@ from w
 """,
 )
 def turn_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    return turn_feedback_rows(_turn_verdicts(fx.generations(spark, sf)), CHECKS, max_turns=3)
-
-
-def turn_feedback_rows(verdicts: DataFrame, order: tuple[str, ...], max_turns: int) -> DataFrame:
-    """Feedback per turn; empty on the last turn and when everything passed."""
-    name, status = F.col("name"), F.col("status")
-    score, threshold = F.col("score"), F.col("pass_threshold")
-    line = vd.feedback_line(name, status, score, threshold)
-    grouped = verdicts.groupBy("session_id", "turn").agg(
-        F.bool_and(vd.verifier_passed(status, score, threshold)).alias("_all"),
-        *[F.max(F.when(name == check, line)).alias(f"_{check}") for check in order],
-    )
-    message = scoring.feedback_message(
-        {check: F.col(f"_{check}") for check in order}, F.col("_all")
-    )
-    silent = F.col("_all") | (F.col("turn") == max_turns - 1)
-    return grouped.select(
-        "session_id", "turn", F.when(silent, F.lit("")).otherwise(message).alias("feedback")
-    )
+    return scoring.turn_feedback(_turn_verdicts(fx.generations(spark, sf)), CHECKS, max_turns=3)
 
 
 @query(

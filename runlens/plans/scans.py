@@ -251,18 +251,19 @@ def write_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Place of each line over all files: lines before its file plus place in it."""
+    """Place of each line over all files: lines before its split plus place in it."""
     from pyspark.sql import Window
 
-    ordered = lines.select("value", F.col("seq.path").alias("path"), F.col("seq.row").alias("row"))
-    first = ordered.groupBy("path").agg(
+    split = ["path", "block"]
+    ordered = lines.select("value", "seq.*")
+    first = ordered.groupBy(*split).agg(
         F.min("row").alias("_first"), F.count(F.lit(1)).alias("_lines")
     )
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     offsets = first.select(
-        "path", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset")
+        *split, "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset")
     )
-    return ordered.join(offsets, "path").select(
+    return ordered.join(offsets, split).select(
         F.col("value").alias("instance_id"),
         (F.col("_offset") + F.col("row") - F.col("_first")).alias("place"),
     )

@@ -37,13 +37,12 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     for name, meaning in reasons.items():
         reason = F.when(priority == name, meaning).otherwise(reason)
     orders = table(spark, sf, "orders")
-    repos = instances_of_runs(spark, sf)
+    repos = _repos(spark, sf)
     return (
         orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
-        .withColumn("instance_id", F.col("o_custkey").cast("string"))
-        .join(repos, "instance_id")
+        .join(repos, orders.o_custkey == repos.c_custkey)
         .select(
-            "instance_id",
+            F.col("o_custkey").cast("string").alias("instance_id"),
             "repo",
             F.col("o_orderkey").alias("run_id"),
             (F.col("o_orderstatus") == "F").alias("resolved"),
@@ -57,11 +56,14 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def instances_of_runs(spark: SparkSession, sf: str) -> DataFrame:
     """All customers as instances, also those without runs."""
+    return _repos(spark, sf).select(F.col("c_custkey").cast("string").alias("instance_id"), "repo")
+
+
+def _repos(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation")
     customer = table(spark, sf, "customer")
     return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
-        F.col("c_custkey").cast("string").alias("instance_id"),
-        F.col("n_name").alias("repo"),
+        "c_custkey", F.col("n_name").alias("repo")
     )
 
 
@@ -75,13 +77,12 @@ def indexed_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """An (order, line number) pair is a verdict of verifier v1 .. v7."""
-    worst = F.min("l_returnflag")
     score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.max("l_discount") * 10)), 4)
     return (
         table(spark, sf, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(
-            F.when(worst == "R", "error").otherwise("ok").alias("status"),
+            F.when(F.bool_and(F.col("l_returnflag") == "R"), "error").otherwise("ok").alias("status"),
             (score + 0.0).alias("score"),
         )
         .select(
