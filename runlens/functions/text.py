@@ -7,6 +7,8 @@ Positions are counted in code points throughout (`position`, `length`,
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 PY_SPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 SPACE_CLASS = f"[{PY_SPACE}]"
 
-# What str.splitlines() breaks on.
-LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+# What str.splitlines() breaks on, the plain line feed apart.
+RARE_BREAKS = "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+LINE_BREAK = f"\r\n|[\n{RARE_BREAKS}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,9 +37,17 @@ def py_strip(text: Column) -> Column:
 
 def py_splitlines(text: Column) -> Column:
     """Lines without their ends; a final line break opens no further line."""
-    closed = F.regexp_replace(text, F.lit(f"(?:{LINE_BREAK})\\z"), F.lit(""))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
-        F.split(closed, LINE_BREAK, -1)
+    any_closed = F.regexp_replace(text, F.lit(f"(?:{LINE_BREAK})\\z"), F.lit(""))
+    feed_closed = F.when(
+        F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)
+    ).otherwise(text)
+    # Byte searches and a split on one plain character are several times
+    # cheaper than a pattern, and the other line ends are rare.
+    rare = reduce(or_, [F.contains(text, F.lit(end)) for end in RARE_BREAKS])
+    return (
+        F.when(F.length(text) == 0, F.array().cast("array<string>"))
+        .when(rare, F.split(any_closed, LINE_BREAK, -1))
+        .otherwise(F.split(feed_closed, "\n", -1))
     )
 
 

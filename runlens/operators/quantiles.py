@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.session import materialize
+
 PERCENTILES = (10, 25, 50, 75, 90)
 BUCKETS_PER_E = 4000
 
@@ -32,12 +34,17 @@ def _bucket_centre(bucket: Column) -> Column:
 
 
 def histogram(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Rows per distinct value: groups, `value`, `weight`."""
-    return (
+    """Rows per distinct value: groups, `value`, `weight`, as a stored table.
+
+    The figures need it several times; storing it keeps the source from being
+    planned and read once for each of them.
+    """
+    counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, (F.col(value).cast("double") + 0.0).alias("value"))
         .agg(F.count(F.lit(1)).alias("weight"))
     )
+    return materialize(counted, "histogram")
 
 
 def weighted_stats(
