@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_LOCAL_ROOTS: dict[str, str] = {}
 
 # AQE sizes the shuffles at run time, splits skewed join partitions and turns
 # a shuffled join into a broadcast one only after the small side was measured.
@@ -39,7 +40,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
     A local master has one machine only, so there a temporary folder is made
-    once and remembered in the session. On a cluster a missing setting is an
+    once per application. On a cluster a missing setting is an
     error: a machine-local folder would not be visible to the executors.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
@@ -47,9 +48,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="runlens-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="runlens-")
+    return _LOCAL_ROOTS[application]
 
 
 def work_path(spark: SparkSession, name: str) -> str:

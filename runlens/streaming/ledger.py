@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-BATCH = "batch_id"
+from runlens.session import materialize
+
+STREAM, BATCH = "stream", "batch_id"
 
 
 def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Ledger rows; an absent ledger is empty."""
-    full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    """Ledger rows with the stream and batch that wrote them; an absent ledger is empty."""
+    full = T.StructType(
+        [
+            *schema.fields,
+            T.StructField(STREAM, T.StringType()),
+            T.StructField(BATCH, T.LongType()),
+        ]
+    )
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
@@ -32,7 +42,7 @@ def first_per_id(results: DataFrame, key: str) -> DataFrame:
 
 
 def write_batch(
-    results: DataFrame, batch_id: int, path: str, schema: T.StructType, key: str
+    results: DataFrame, stream: str, batch_id: int, path: str, schema: T.StructType, key: str
 ) -> None:
     """Add the batch's new ids to the ledger.
 
@@ -41,13 +51,24 @@ def write_batch(
     the ledger is read.
     """
     spark = results.sparkSession
-    done = (
-        read_ledger(spark, path, schema)
-        .where(F.col(BATCH).isNull() | (F.col(BATCH) != batch_id))
-        .select(key)
-    )
+    own = (F.col(STREAM) == stream) & (F.col(BATCH) == batch_id)
+    done = read_ledger(spark, path, schema).where(~own).select(key)
     fresh = first_per_id(results.where(F.col(key).isNotNull()), key).join(done, key, "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    _write(fresh, stream, batch_id, path)
+
+
+def _write(fresh: DataFrame, stream: str, batch_id: int, path: str) -> None:
+    fresh.write.mode("overwrite").parquet(f"{path}/{STREAM}={stream}/{BATCH}={batch_id}")
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the running query, kept in its checkpoint.
+
+    Batch numbers start again at 0 under a new checkpoint, so the batch alone
+    does not name a partition of the ledger.
+    """
+    running = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return running or hashlib.md5(checkpoint.encode()).hexdigest()
 
 
 def stream_results(
@@ -67,11 +88,28 @@ def run_ledger(
     schema: T.StructType,
     key: str = "instance_id",
     once: bool = True,
+    keep_ids: bool = False,
 ) -> StreamingQuery:
-    """Start the ledger query; `once` stops it when the present input is read."""
+    """Start the ledger query; `once` stops it when the present input is read.
+
+    Every batch is checked against the ids of the ledger. For a long stream
+    `keep_ids` remembers this stream's ids in the state store instead; only
+    the ids other streams had written before it started are then joined.
+    """
+    earlier: list[DataFrame] = []
+    if keep_ids:
+        results = results.where(F.col(key).isNotNull()).dropDuplicates([key])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, batch_id, path, schema, key)
+        spark = batch.sparkSession
+        stream = _stream_id(spark, checkpoint)
+        if not keep_ids:
+            write_batch(batch, stream, batch_id, path, schema, key)
+            return
+        if not earlier:
+            others = read_ledger(spark, path, schema).where(F.col(STREAM) != stream).select(key)
+            earlier.append(materialize(others, "ledger-ids"))
+        _write(batch.join(earlier[0], key, "left_anti"), stream, batch_id, path)
 
     writer = results.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     if once:
