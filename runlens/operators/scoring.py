@@ -135,13 +135,17 @@ def group_norm_reward(
     )
 
 
-def turn_feedback(verdicts: DataFrame, order: Sequence[str], max_turns: int) -> DataFrame:
+def turn_feedback(
+    verdicts: DataFrame, order: Sequence[str], max_turns: int, lines: str | None = None
+) -> DataFrame:
     """`feedback` per turn, one line per verifier in set order.
 
     Verdicts are (session_id, turn, name, status, score, pass_threshold). The
     text is empty on the last allowed turn and when everything passed. Codes
     and scores are aggregated and the text is built afterwards, so no text
-    sits in the aggregation buffers.
+    sits in the aggregation buffers. Verifiers with a feedback of their own
+    put it into a column named by `lines`; it replaces the default line where
+    it is not null.
     """
     name, status = F.col("name"), F.col("status")
     score, threshold = F.col("score"), F.col("pass_threshold")
@@ -162,8 +166,9 @@ def turn_feedback(verdicts: DataFrame, order: Sequence[str], max_turns: int) ->
                 of(check, threshold).alias(f"_threshold{i}"),
             )
         ],
+        *[of(check, F.col(lines)).alias(f"_line{i}") for i, check in enumerate(order) if lines],
     )
-    lines = [
+    default = [
         F.when(
             F.col(f"_status{i}").isNotNull(),
             feedback_line(
@@ -176,7 +181,10 @@ def turn_feedback(verdicts: DataFrame, order: Sequence[str], max_turns: int) ->
         for i, check in enumerate(order)
     ]
     silent = F.col("_all") | (F.col("turn") == max_turns - 1)
-    message = feedback_message(lines, F.col("_all"))
+    shown = [
+        F.coalesce(F.col(f"_line{i}"), line) if lines else line for i, line in enumerate(default)
+    ]
+    message = feedback_message(shown, F.col("_all"))
     return grouped.select(
         "session_id", "turn", F.when(silent, F.lit("")).otherwise(message).alias("feedback")
     )

@@ -81,15 +81,47 @@ def hunk_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("syntax_check")
+# What the parser must find in the code patches: a hunk is lost when the git
+# header of the text file follows it, all others are parsed.
+BROKEN = r"""
+d as (select doc_id, n_chars, length(text) - length(replace(text, chr(10), '')) as breaks,
+  doc_id % 7 = 0 and not (doc_id % 2 = 1 and doc_id % 5 = 0) as bad_f,
+  doc_id % 6 = 0 and doc_id % 5 <> 0 as bad_g, doc_id % 2 = 0 as has_g from documents),
+found as (
+ select doc_id, 0 as file_no, 'src/f.py' as file, breaks + 4 as line, 5 as "offset", 'invalid syntax' as message,
+  concat('        ', printf('%4d', breaks + 2), ' + def f():', chr(10), '        ', printf('%4d', breaks + 3),
+   ' +     return ', n_chars, chr(10), '    --> ', printf('%4d', breaks + 4), ' + x = = 1') as snippet
+ from d where bad_f
+ union all
+ select doc_id, 1, 'src/g.py', 6, 12, '''' || '(' || '''' || ' was never closed',
+  concat('           5       def g(a):', chr(10), '    -->    6 +         return (a') from d where bad_g)
+"""
+
+
+@query(
+    "syntax_check",
+    f"""
+with {BROKEN.strip()}
+select doc_id, file_no, file, 0 as hunk_no, line, "offset", message, snippet from found
+""",
+)
 def syntax_check(spark: SparkSession, sf: str) -> DataFrame:
-    checked = syntax_checked(fx.patches(spark, sf))
+    checked = syntax_checked(fx.code_patches(spark, sf))
     return syntax_errors(checked, "doc_id")
 
 
-@query("syntax_score")
+@query(
+    "syntax_score",
+    f"""
+with {BROKEN.strip()},
+s as (select doc_id, 1 + has_g::int as files, bad_f::int + bad_g::int as errored from d)
+select doc_id, 'ast_check' as name, 'ok' as status, (files - errored) / files::double as score,
+ 1.0::double as pass_threshold, files::bigint as files_total, files::bigint as files_checkable,
+ (files - errored)::bigint as files_parsed, 0::bigint as files_skipped, errored::bigint as files_errored from s
+""",
+)
 def syntax_score(spark: SparkSession, sf: str) -> DataFrame:
-    return syntax_verdicts(syntax_checked(fx.patches(spark, sf)), "doc_id").drop("errors")
+    return syntax_verdicts(syntax_checked(fx.code_patches(spark, sf)), "doc_id").drop("errors")
 
 
 @query(
@@ -120,7 +152,23 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
     ).where(F.col("snippet").isNotNull())
 
 
-@query("syntax_feedback")
+@query(
+    "syntax_feedback",
+    f"""
+with {BROKEN.strip()},
+told as (select doc_id, string_agg(concat('  - ', file, ': line ', line, ', offset ', "offset", ': ', message, chr(10), snippet),
+  chr(10) order by file_no) as report from found group by doc_id)
+select doc_id, case when report is null then '[ast_check] PASSED: no syntax errors detected'
+ else concat('[ast_check] FAILED: syntax errors in the following files:', chr(10), report) end as feedback
+from d left join told using (doc_id)
+""",
+)
 def feedback(spark: SparkSession, sf: str) -> DataFrame:
-    verdicts = syntax_verdicts(syntax_checked(fx.patches(spark, sf)), "doc_id")
-    return syntax_feedback(verdicts).select("doc_id", "status", "score", "feedback")
+    verdicts = syntax_verdicts(syntax_checked(fx.code_patches(spark, sf)), "doc_id")
+    return syntax_feedback(verdicts).select("doc_id", "feedback")
+
+
+@query("syntax_free_text")
+def free_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts on patches of prose, where only the parser can tell the outcome."""
+    return syntax_verdicts(syntax_checked(fx.patches(spark, sf)), "doc_id").drop("errors")

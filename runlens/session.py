@@ -19,19 +19,39 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 
+MIB = 1 << 20
+
+
+def sized_for(input_bytes: int) -> dict[str, str]:
+    """Settings for a job that shuffles about `input_bytes`.
+
+    AQE merges shuffle partitions but never adds any, so a large job has to
+    start with enough of them: 128 MiB each, which a task sorts in memory.
+    """
+    partitions = min(max(input_bytes // (128 * MIB), 200), 200_000)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * MIB),
+        "spark.sql.files.maxPartitionBytes": str(256 * MIB),
+    }
+
+
 def build_session(
     app_name: str = "runlens",
     master: str | None = None,
     extra: dict[str, str] | None = None,
+    input_bytes: int | None = None,
 ) -> SparkSession:
     """Start (or reuse) a session; `master` stays with spark-submit when None."""
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **(extra or {})}.items():
+    sizes = {} if input_bytes is None else sized_for(input_bytes)
+    for key, value in {**DEFAULTS, **sizes, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

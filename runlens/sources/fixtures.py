@@ -180,6 +180,39 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", diff.alias("patch_diff"))
 
 
+def code_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Patches of real code: each document as comments above a function.
+
+    Some first files end in a broken line, some second files (an indented
+    method) leave a bracket open, and some patches go on with a text file in
+    git format.
+    """
+    n = F.col("doc_id")
+    comments = F.concat(F.lit("+# "), F.replace("text", F.lit("\n"), F.lit("\n+# ")))
+    first = F.concat(
+        F.lit("--- a/src/f.py\n+++ b/src/f.py\n@@ -1,1 +1,9 @@\n"),
+        comments,
+        F.lit("\n+def f():\n+    return "),
+        F.col("n_chars").cast("string"),
+        F.when(n % 7 == 0, F.lit("\n+x = = 1")).otherwise(F.lit("")),
+    )
+    second = F.when(
+        n % 2 == 0,
+        F.concat(
+            F.lit("\n--- a/src/g.py\n+++ b/src/g.py\n@@ -3,2 +5,2 @@ class G:\n     def g(a):\n"),
+            F.lit("-        pass\n+        return "),
+            F.when(n % 3 == 0, F.lit("(a")).otherwise(F.lit("a")),
+        ),
+    ).otherwise(F.lit(""))
+    third = F.when(
+        n % 5 == 0,
+        F.lit("\ndiff --git a/n.txt b/n.txt\n--- a/n.txt\n+++ b/n.txt\n@@ -1 +1 @@\n+note"),
+    ).otherwise(F.lit(""))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.concat(first, second, third).alias("patch_diff")
+    )
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("session_id"), "turn", "role", "text"

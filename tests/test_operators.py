@@ -195,6 +195,9 @@ def test_turn_feedback(spark):
     assert got[0] == head + "[a] TIMEOUT\n[b] FAILED (score: 0.50)" + foot
     assert got[1] == "" and got[2] == ""
     assert got[3] == head + "[b] FAILED (score: 0.00)" + foot
+    own = df.withColumn("told", F.when(F.col("name") == "b", "see above"))
+    told = {r.turn: r.feedback for r in scoring.turn_feedback(own, ["a", "b"], 3, lines="told").collect()}
+    assert told[0] == head + "[a] TIMEOUT\nsee above" + foot
 
 
 # --- runs and reports ----------------------------------------------------
