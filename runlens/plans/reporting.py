@@ -16,7 +16,7 @@ SIGNAL = "case when n_resolved = 0 then 'always_fail' when n_resolved = n_runs t
 
 
 def _rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.instance_rollup(fx.runs(spark, sf), fx.instances_of_runs(spark, sf))
+    return signals.instance_rollup(fx.bare_runs(spark, sf), fx.instances_of_runs(spark, sf))
 
 
 def _rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
@@ -120,7 +120,7 @@ select count(distinct instance_id) as instances, count(*) as total_runs, count(*
 """,
 )
 def overall_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(reports.overall_stats(fx.runs(spark, sf)), "run_rate", "any_rate")
+    return _rounded(reports.overall_stats(fx.bare_runs(spark, sf)), "run_rate", "any_rate")
 
 
 @query(
@@ -176,7 +176,7 @@ select cohort, metric, {STATS_SQL.format(v='v').strip()} from long group by coho
 )
 def cohorts(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(
-        reports.cohort_stats(fx.runs(spark, sf), _rollup(spark, sf)), *STATS, places=4
+        reports.cohort_stats(fx.bare_runs(spark, sf), _rollup(spark, sf)), *STATS, places=4
     )
 
 
@@ -188,7 +188,7 @@ select coalesce(reason, 'unknown') as reason, count(*) as runs,
 """,
 )
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(reports.outcome_histogram(fx.runs(spark, sf)), "share")
+    return _rounded(reports.outcome_histogram(fx.bare_runs(spark, sf)), "share")
 
 
 @query(

@@ -43,7 +43,7 @@ def batch_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     "select run_id, case when resolved then 1.0::double else 0.0::double end as reward from runs",
 )
 def binary(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.runs(spark, sf).select("run_id", binary_reward(F.col("resolved")).alias("reward"))
+    return fx.bare_runs(spark, sf).select("run_id", binary_reward(F.col("resolved")).alias("reward"))
 
 
 @query("verifier_passed", "select session_id, name, passed from effective")
@@ -182,7 +182,7 @@ from r window w as (partition by instance_id)
 """,
 )
 def group_norm(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.runs(spark, sf).select(
+    rows = fx.bare_runs(spark, sf).select(
         "instance_id", "run_id", binary_reward(F.col("resolved")).alias("reward")
     )
     normed = scoring.group_norm_reward(rows, "instance_id", eps=1e-4)

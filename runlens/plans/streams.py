@@ -22,7 +22,7 @@ def _result_schema():
 
 def _write_results(spark: SparkSession, sf: str, path: str) -> None:
     """Finished instances as JSON lines; a third of them is written twice."""
-    results = instance_rollup(fx.runs(spark, sf), fx.instances_of_runs(spark, sf))
+    results = instance_rollup(fx.bare_runs(spark, sf), fx.instances_of_runs(spark, sf))
     rows = results.select(*_result_schema().fieldNames())
     copies = F.when(F.col("instance_id").cast("bigint") % 3 == 0, 2).otherwise(1)
     rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy").repartition(

@@ -13,7 +13,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """An order is a run, its customer the instance, the nation the repo.
+    """Runs with the repo of their instance."""
+    columns = bare_runs(spark, sf).columns
+    repos = instances_of_runs(spark, sf)
+    return bare_runs(spark, sf).join(repos, "instance_id").select("instance_id", "repo", *columns[1:])
+
+
+def bare_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """An order is a run, its customer the instance.
 
     Lines are counted per order before the join, so order keys are unique on
     both sides of it.
@@ -32,38 +39,27 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         "3-MEDIUM": "token_limit",
         "5-LOW": "error",
     }
-    priority = F.col("o_orderpriority")
     reason = F.lit(None)
     for name, meaning in reasons.items():
-        reason = F.when(priority == name, meaning).otherwise(reason)
+        reason = F.when(F.col("o_orderpriority") == name, meaning).otherwise(reason)
     orders = table(spark, sf, "orders")
-    repos = _repos(spark, sf)
-    return (
-        orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
-        .join(repos, orders.o_custkey == repos.c_custkey)
-        .select(
-            F.col("o_custkey").cast("string").alias("instance_id"),
-            "repo",
-            F.col("o_orderkey").alias("run_id"),
-            (F.col("o_orderstatus") == "F").alias("resolved"),
-            F.coalesce("_n", F.lit(0)).cast("int").alias("steps"),
-            F.coalesce("_q", F.lit(0)).cast("bigint").alias("total_tokens"),
-            F.col("o_totalprice").alias("wall_clock_seconds"),
-            reason.cast("string").alias("reason"),
-        )
+    return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").select(
+        F.col("o_custkey").cast("string").alias("instance_id"),
+        F.col("o_orderkey").alias("run_id"),
+        (F.col("o_orderstatus") == "F").alias("resolved"),
+        F.coalesce("_n", F.lit(0)).cast("int").alias("steps"),
+        F.coalesce("_q", F.lit(0)).cast("bigint").alias("total_tokens"),
+        F.col("o_totalprice").alias("wall_clock_seconds"),
+        reason.cast("string").alias("reason"),
     )
 
 
 def instances_of_runs(spark: SparkSession, sf: str) -> DataFrame:
     """All customers as instances, also those without runs."""
-    return _repos(spark, sf).select(F.col("c_custkey").cast("string").alias("instance_id"), "repo")
-
-
-def _repos(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation")
     customer = table(spark, sf, "customer")
     return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
-        "c_custkey", F.col("n_name").alias("repo")
+        F.col("c_custkey").cast("string").alias("instance_id"), F.col("n_name").alias("repo")
     )
 
 

@@ -136,7 +136,7 @@ def session_with(folder, master="local[2]"):
 
 def test_shared_root_follows_the_session():
     named = session_with("hdfs://c/shared/")
-    assert work_path(named, "x").startswith("hdfs://c/shared/x-")
+    assert work_path(named, "x").startswith("hdfs://c/shared/runlens/x-")
     assert work_path(named, "x") != work_path(named, "x")
     local = session_with(None)
     assert shared_root(local) == shared_root(local)
