@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens import schemas
 from runlens.functions.prompts import CHAT_TEMPLATE, build_chat_prompt
-from runlens.operators import joins, reports, sampling, signals
+from runlens.operators import joins, reports, sampling, scoring, sessions, signals
 from runlens.session import materialize
 from runlens.sources import readers, writers
 
@@ -80,6 +82,36 @@ def grade_predictions(
     return _store(tables, output)
 
 
+def replay_sessions(
+    generations: DataFrame,
+    verdicts: DataFrame,
+    checks: Sequence[str],
+    max_turns: int,
+    aggregator: str = "mean",
+    weights: Mapping[str, float] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(turns, sessions) of multi-turn runs that stop at the first passing turn.
+
+    `generations` is (session_id, turn, output), `verdicts` (session_id, turn,
+    name, status, score, pass_threshold). `checks` names the intermediate
+    verifiers in their order; without any, no session stops early.
+    """
+    keys = ("session_id", "turn")
+    judged = verdicts.where(F.col("name").isin(list(checks)))
+    scored = scoring.session_scores(generations, judged, aggregator, weights, keys)
+    passed = scoring.all_passed(scored, judged, keys)
+    kept = sessions.kept_turns(passed) if checks else passed
+    if checks:
+        told = scoring.turn_feedback(judged, checks, max_turns)
+        turns = kept.join(told, list(keys), "left")
+    else:
+        turns = kept.withColumn("feedback", F.lit(""))
+    return (
+        turns.select(*keys, "output", "aggregate_score", F.coalesce("feedback", F.lit("")).alias("feedback")),
+        sessions.session_replay(passed, has_verifiers=bool(checks)),
+    )
+
+
 def evaluate_samples(samples: DataFrame, problems: DataFrame, outcomes: DataFrame, output: str) -> dict[str, str]:
     """Report on executed samples; a sample of an unknown problem fails the job.
 

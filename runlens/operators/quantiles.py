@@ -118,51 +118,44 @@ def weighted_stats(
     hits = placed.select(
         *groups,
         "value",
-        F.explode(
-            F.filter(
-                "_ranks",
-                lambda r: (r["at"] >= F.col("_first"))
-                & (r["at"] < F.col("_first") + F.col("weight")),
-            )
-        ).alias("_r"),
+        F.explode(F.expr(f"filter(_ranks, r -> {_inside('r.low')} or {_inside('r.high')})")).alias(
+            "_r"
+        ),
+        "_first",
+        "weight",
     )
     return moments.join(_interpolated(hits, groups, percents), groups)
 
 
-def _wanted_ranks(edges: DataFrame, groups: list[str], percents: Sequence[int]) -> DataFrame:
-    """The buckets that hold a rank some percentile needs, with those ranks."""
+def _inside(rank: str, first: str = "_first", size: str = "weight") -> str:
+    return f"({rank} >= {first} and {rank} < {first} + {size})"
 
-    def rank(percent: int, side: str) -> Column:
-        at = (F.col("_total") - 1) * F.lit(percent) / F.lit(100)
-        return F.struct(
-            F.lit(percent).alias("percent"),
-            F.lit(side).alias("side"),
-            (F.floor(at) if side == "low" else F.ceil(at)).cast("bigint").alias("at"),
-            (at - F.floor(at)).alias("share"),
-        )
 
-    ranks = F.array(*[rank(p, side) for p in percents for side in ("low", "high")])
+def _wanted_ranks(edges: DataFrame, groups: list[str], percents: Sequence[int]) -> DataFrame:
+    """The buckets that hold a rank some percentile needs, with those ranks."""
+    at = "(_total - 1) * p / 100D"
+    ranks = f"""transform(array({', '.join(map(str, percents))}), p -> named_struct(
+        'percent', p, 'low', floor({at}), 'high', ceil({at}), 'share', {at} - floor({at})))"""
+    low, high = (_inside(f"r.{side}", "_before", "_size") for side in ("low", "high"))
     return edges.select(
         *groups,
         "_bucket",
         "_before",
-        F.filter(
-            ranks,
-            lambda r: (r["at"] >= F.col("_before"))
-            & (r["at"] < F.col("_before") + F.col("_size")),
-        ).alias("_ranks"),
+        F.expr(f"filter({ranks}, r -> {low} or {high})").alias("_ranks"),
     ).where(F.size("_ranks") > 0)
 
 
 def _interpolated(hits: DataFrame, groups: list[str], percents: Sequence[int]) -> DataFrame:
-    def pick(percent: int, side: str, field: str) -> Column:
-        chosen = (F.col("_r.percent") == percent) & (F.col("_r.side") == side)
-        return F.max(F.when(chosen, F.col(field)))
-
     def between(percent: int) -> Column:
-        low, high = pick(percent, "low", "value"), pick(percent, "high", "value")
-        share = pick(percent, "low", "_r.share")
-        return F.when(share == 0, low).otherwise(low * (1 - share) + high * share)
+        def pick(side: str) -> str:
+            chosen = f"_r.percent = {percent} and {_inside(f'_r.{side}')}"
+            return f"max(case when {chosen} then value end)"
+
+        share = f"max(case when _r.percent = {percent} then _r.share end)"
+        return F.expr(
+            f"case when {share} = 0 then {pick('low')}"
+            f" else {pick('low')} * (1 - {share}) + {pick('high')} * {share} end"
+        )
 
     return hits.groupBy(*groups).agg(*[between(p).alias(f"p{p}") for p in percents])
 

@@ -25,6 +25,7 @@ def join_summary(
     take the shuffled join.
     """
     fields = [c for c in summary.columns if c != key]
+    hashable = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
     total = summary.agg(F.sum(count)).scalar()
     heavy = F.broadcast(
         summary.where(F.col(count) * heavy_share > total).select(
@@ -39,7 +40,7 @@ def join_summary(
         *[rows[c] for c in rows.columns],
         "_heavy",
         F.when(~is_heavy, rows[key]).alias("_key"),
-        F.when(is_heavy, F.pmod(F.xxhash64(*[rows[c] for c in rows.columns]), F.lit(SPREAD)))
+        F.when(is_heavy, F.pmod(F.xxhash64(*[rows[c] for c in hashable]), F.lit(SPREAD)))
         .otherwise(F.lit(0))
         .cast("int")
         .alias("_slot"),

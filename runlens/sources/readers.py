@@ -74,7 +74,7 @@ def read_prediction_tree(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(root)
     )
-    return files.where(F.col("instance_id").isNotNull()).select(*PREDICTION.fieldNames())
+    return files.where(_usable("instance_id")).select(*PREDICTION.fieldNames())
 
 
 def with_line_order(lines: DataFrame) -> DataFrame:
@@ -109,6 +109,14 @@ def read_split(
     return spark.read.parquet(f"{root}/{dataset}/{chosen}")
 
 
+def object_path(uri: str) -> str:
+    """Path of an s3 URI for Spark's readers and writers; other schemes are refused."""
+    scheme, _, rest = uri.partition("://")
+    if scheme.lower() != "s3":
+        raise ValueError(f"Expected s3:// URI, got: {uri}")
+    return f"s3a://{rest}"
+
+
 def read_id_list(spark: SparkSession, path: str, column: str = "instance_id") -> DataFrame:
     """One id per line, trimmed, blank lines skipped."""
     ids = spark.read.text(path).select(py_strip(F.col("value")).alias(column))

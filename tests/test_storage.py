@@ -57,6 +57,7 @@ def test_array_file(spark, tmp_path):
 def test_prediction_tree(spark, tmp_path):
     put(tmp_path / "a", "prediction.json", json.dumps({"instance_id": "a", "model_patch": "p\nq"}, indent=2))
     put(tmp_path / "b", "prediction.json", "{oops")
+    put(tmp_path / "e", "prediction.json", '{"instance_id": "e", "model_patch": "cut')
     put(tmp_path / "c", "prediction.json", '{"model_patch": "p"}')
     put(tmp_path / "d", "report.json", '{"instance_id": "d"}')
     got = readers.read_prediction_tree(spark, str(tmp_path)).collect()
@@ -236,6 +237,33 @@ def test_grade_predictions(spark, tmp_path):
     assert spark.read.parquet(paths["predictions"]).first().model_name_or_path == "unknown"
 
 
+def test_replay_sessions(spark):
+    generations = spark.createDataFrame(
+        [("s", 0, "o0"), ("s", 1, "o1"), ("s", 2, "o2"), ("t", 0, "p0")], "session_id string, turn int, output string"
+    )
+    verdicts = spark.createDataFrame(
+        [("s", 0, "a", "ok", 0.5, 1.0), ("s", 1, "a", "ok", 1.0, 1.0), ("s", 2, "a", "ok", 1.0, 1.0),
+         ("t", 0, "a", "error", 1.0, 1.0), ("t", 0, "final", "ok", 1.0, 1.0)],
+        "session_id string, turn int, name string, status string, score double, pass_threshold double",
+    )
+    turns, ends = jobs.replay_sessions(generations, verdicts, ["a"], max_turns=3)
+    rows = {(r.session_id, r.turn): r for r in turns.collect()}
+    assert sorted(rows) == [("s", 0), ("s", 1), ("t", 0)]
+    assert rows[("s", 0)].aggregate_score == 0.5 and "FAILED (score: 0.50)" in rows[("s", 0)].feedback
+    assert rows[("s", 1)].feedback == "" and "[a] ERROR" in rows[("t", 0)].feedback
+    got = sorted(tuple(r) for r in ends.collect())
+    assert got == [("s", "o1", 2, True), ("t", "p0", 1, False)]
+    turns, ends = jobs.replay_sessions(generations, verdicts, [], max_turns=3)
+    assert turns.count() == 4 and {r.aggregate_score for r in turns.collect()} == {1.0}
+    assert sorted(tuple(r) for r in ends.collect())[0] == ("s", "o2", 3, False)
+
+
+def test_object_path():
+    assert readers.object_path("s3://b/k/x") == "s3a://b/k/x"
+    with pytest.raises(ValueError, match="Expected s3"):
+        readers.object_path("/local/x")
+
+
 def test_evaluate_samples(spark, tmp_path):
     samples = spark.createDataFrame([("t1", 1, "x"), ("t1", 2, "y"), ("t2", 1, "z")], "task_id string, sample_id int, prediction string")
     problems = spark.createDataFrame([("t1", "test"), ("t2", "test")], "task_id string, test string")
