@@ -32,17 +32,21 @@ def join_summary(
             F.col(key).alias("_heavy_key"), F.struct(*fields).alias("_heavy")
         )
     )
+    # Rows of heavy keys have no key to match and a slot of their own choice.
+    # The slot of the others is a hash and not a constant, which the optimizer
+    # would take out of the join keys and so out of the partitioning.
     light = summary.select(
-        F.col(key).alias("_light_key"), F.lit(0).alias("_light_slot"), F.struct(*fields).alias("_light")
+        F.col(key).alias("_light_key"),
+        F.xxhash64(key).alias("_light_slot"),
+        F.struct(*fields).alias("_light"),
     )
     is_heavy = F.col("_heavy").isNotNull()
     slotted = rows.join(heavy, rows[key] == F.col("_heavy_key"), "left").select(
         *[rows[c] for c in rows.columns],
         "_heavy",
         F.when(~is_heavy, rows[key]).alias("_key"),
-        F.when(is_heavy, F.pmod(F.xxhash64(*[rows[c] for c in hashable]), F.lit(SPREAD)))
-        .otherwise(F.lit(0))
-        .cast("int")
+        F.when(is_heavy, F.xxhash64(*[rows[c] for c in hashable]) % SPREAD)
+        .otherwise(F.xxhash64(rows[key]))
         .alias("_slot"),
     )
     joined = slotted.join(

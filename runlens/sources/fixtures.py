@@ -217,15 +217,17 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def generations(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant messages as generation turns numbered from 0, with a pass flag."""
-    spoken = turns(spark, sf).where(F.col("role") == "assistant")
-    numbered = running(
-        spoken, ["session_id"], "turn", {"_place": ("count", F.lit(1))}
+    spoken = (
+        turns(spark, sf)
+        .where(F.col("role") == "assistant")
+        .withColumn("all_passed", F.length("text") % 5 == 0)
     )
+    numbered = running(spoken, ["session_id"], "turn", {"_place": ("count", F.lit(1))})
     return numbered.select(
         "session_id",
         (F.col("_place") - 1).alias("turn"),
         F.col("text").alias("output"),
-        (F.length("text") % 5 == 0).alias("all_passed"),
+        "all_passed",
     )
 
 

@@ -117,6 +117,26 @@ def test_join_summary_keeps_every_row(spark, share):
         assert row.s == (None if row.k is None else totals[row.k])
 
 
+def test_rows_of_a_heavy_key_do_not_meet(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    summary = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    changed = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name) for name in changed}
+    try:
+        for name, value in changed.items():
+            spark.conf.set(name, value)
+        joined = join_summary(rows, summary, "k", "n").withColumn("part", F.spark_partition_id())
+        spread = [r["count"] for r in joined.where("k = -1 and n = 1334").groupBy("part").count().collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(spread) == 1334 and len(spread) > 8 and max(spread) < 400
+
+
 # --- scores --------------------------------------------------------------
 
 VERDICT = "session_id string, name string, status string, score double, pass_threshold double"
