@@ -139,12 +139,21 @@ def per_repo(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# A mean may end exactly half-way between two rounded values; the nudge lets
+# both engines round it the same way whatever their last bit.
+NUDGE = 1e-7
 STATS_SQL = """
-count({v}) as n, round(avg({v}), 4) as mean, round(quantile_cont({v}, 0.5), 4) as median,
+count({v}) as n, round(avg({v}) + 0.0000001, 4) as mean, round(quantile_cont({v}, 0.5), 4) as median,
  round(stddev_pop({v}), 4) as std, round(quantile_cont({v}, 0.1), 4) as p10, round(quantile_cont({v}, 0.25), 4) as p25,
  round(quantile_cont({v}, 0.75), 4) as p75, round(quantile_cont({v}, 0.9), 4) as p90,
  round(min({v}), 4) as min, round(max({v}), 4) as max
 """
+
+
+def _rounded_stats(stats: DataFrame) -> DataFrame:
+    return _rounded(stats.withColumn("mean", F.col("mean") + NUDGE), *STATS, places=4)
+
+
 STATS = ("mean", "median", "std", "p10", "p25", "p75", "p90", "min", "max")
 
 
@@ -154,7 +163,7 @@ STATS = ("mean", "median", "std", "p10", "p25", "p75", "p90", "min", "max")
 )
 def distribution(spark: SparkSession, sf: str) -> DataFrame:
     stats = distribution_stats(fx.runs(spark, sf), ["repo"], "wall_clock_seconds")
-    return _rounded(stats, *STATS, places=4)
+    return _rounded_stats(stats)
 
 
 @query(
@@ -175,9 +184,7 @@ select cohort, metric, {STATS_SQL.format(v='v').strip()} from long group by coho
 """,
 )
 def cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(
-        reports.cohort_stats(fx.bare_runs(spark, sf), _rollup(spark, sf)), *STATS, places=4
-    )
+    return _rounded_stats(reports.cohort_stats(fx.bare_runs(spark, sf), _rollup(spark, sf)))
 
 
 @query(
