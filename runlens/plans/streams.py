@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from runlens.operators.signals import instance_rollup
 from runlens.plans.registry import query
+from runlens.schemas import INSTANCE_RESULT
 from runlens.session import work_path
 from runlens.sources import fixtures as fx
+from runlens.sources.readers import read_jsonl_strict
 from runlens.streaming import ledger
 
-RESULT = "instance_id string, repo string, resolve_rate double, avg_steps double, avg_tokens double"
+RESULT_FIELDS = ("instance_id", "repo", "resolve_rate", "avg_steps", "avg_tokens")
 
 
-def _result_schema():
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(RESULT)
+def _result_schema() -> StructType:
+    return StructType([f for f in INSTANCE_RESULT.fields if f.name in RESULT_FIELDS])
 
 
 def _write_results(spark: SparkSession, sf: str, path: str) -> None:
@@ -25,9 +26,8 @@ def _write_results(spark: SparkSession, sf: str, path: str) -> None:
     results = instance_rollup(fx.bare_runs(spark, sf), fx.instances_of_runs(spark, sf))
     rows = results.select(*_result_schema().fieldNames())
     copies = F.when(F.col("instance_id").cast("bigint") % 3 == 0, 2).otherwise(1)
-    rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy").repartition(
-        4, "avg_steps"
-    ).write.mode("append").json(path)
+    twice = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
+    twice.write.mode("append").json(path)
 
 
 @query(
@@ -43,14 +43,19 @@ def stream_result_ledger(spark: SparkSession, sf: str) -> DataFrame:
     source, target = work_path(spark, "stream-in"), work_path(spark, "stream-ledger")
     _write_results(spark, sf, source)
     checkpoint = work_path(spark, "stream-cp")
-    for _ in range(2):
-        _write_results(spark, sf, source)
-        results = ledger.stream_results(spark, source, schema, files_per_trigger=2)
-        ledger.run_ledger(results, target, checkpoint, schema).awaitTermination()
+    _run_stream(spark, source, target, checkpoint)
+    repeated = read_jsonl_strict(spark, source, schema)
+    repeated.write.mode("append").json(source)
+    _run_stream(spark, source, target, checkpoint)
     rounded = [F.round(c, 6).alias(c) for c in ("resolve_rate", "avg_steps", "avg_tokens")]
     return ledger.read_ledger(spark, target, schema).select("instance_id", "repo", *rounded)
 
 
+def _run_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
+    results = ledger.stream_results(spark, source, _result_schema(), files_per_trigger=2)
+    ledger.run_ledger(results, target, checkpoint, _result_schema()).awaitTermination()
+
+
 @query(
     "stream_progress",
     """
