@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from runlens.functions.text import SPACE_CLASS, find, py_strip
+from runlens.functions.text import SPACE_CLASS, find, first_match, let, py_strip
 
 # Fixed values of the tool protocol.
 BASH_OPEN = "<bash>"
@@ -21,32 +21,48 @@ def parse_tool_call(text: Column) -> Column:
 
     Without any tag the whole trimmed text is the command; a blank text submits.
     """
+
+    def placed(p: Column) -> Column:
+        stop = F.when(
+            p["start"] > 0, find(p["body"], BASH_CLOSE, p["start"] + len(BASH_OPEN))
+        ).otherwise(0)
+        return let(F.struct(p["body"], p["start"], p["submit"], stop.alias("stop")), decided)
+
+    def decided(p: Column) -> Column:
+        start, stop, submit = p["start"], p["stop"], p["submit"]
+        whole = py_strip(p["body"])
+        command = F.substr(
+            p["body"], start + len(BASH_OPEN), stop - start - len(BASH_OPEN)
+        )
+        submits = (
+            F.when((submit > 0) & (stop > 0), submit < start)
+            .when(submit > 0, True)
+            .when(stop > 0, False)
+            .otherwise(F.length(whole) == 0)
+        )
+        content = F.when(stop > 0, py_strip(command)).otherwise(whole)
+        return F.when(submits, call("submit", F.lit(""))).otherwise(call("bash", content))
+
+    def call(kind: str, content: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), content.alias("content"))
+
     body = F.coalesce(text, F.lit(""))
-    start = find(body, BASH_OPEN)
-    stop = F.when(start > 0, find(body, BASH_CLOSE, start + len(BASH_OPEN))).otherwise(0)
-    around = F.split(body, SUBMIT_TAG, 2)
-    submit = F.when(F.size(around) == 2, F.length(F.get(around, F.lit(0))) + 1).otherwise(0)
-    whole = py_strip(body)
-    command = F.substr(body, start + len(BASH_OPEN), stop - start - len(BASH_OPEN))
-    submits = (
-        F.when((submit > 0) & (stop > 0), submit < start)
-        .when(submit > 0, True)
-        .when(stop > 0, False)
-        .otherwise(F.length(whole) == 0)
-    )
-    content = (
-        F.when(submits, F.lit("")).when(stop > 0, py_strip(command)).otherwise(whole)
-    )
-    return F.struct(
-        F.when(submits, F.lit("submit")).otherwise(F.lit("bash")).alias("type"),
-        content.alias("content"),
+    return let(
+        F.struct(
+            body.alias("body"),
+            find(body, BASH_OPEN).alias("start"),
+            first_match(body, SUBMIT_TAG)["at"].alias("submit"),
+        ),
+        placed,
     )
 
 
 def submission_sentinel(output: Column) -> Column:
     """Trimmed text behind the first sentinel, null when it is absent."""
-    at = find(output, SENTINEL)
-    return F.when(at > 0, py_strip(F.substr(output, at + len(SENTINEL))))
+    return let(
+        find(output, SENTINEL),
+        lambda at: F.when(at > 0, py_strip(F.substr(output, at + len(SENTINEL)))),
+    )
 
 
 def format_observation(stdout: Column, returncode: Column, max_chars: int = 10000) -> Column:
@@ -75,16 +91,17 @@ def format_observation(stdout: Column, returncode: Column, max_chars: int = 1000
 
 def extract_return_code(raw: Column) -> Column:
     """struct(output, exit_code): the first code marker is cut out of the text."""
-    parts = F.split(raw, RETURN_CODE, 2)
-    found = F.size(parts) == 2
-    code = F.regexp_extract(raw, RETURN_CODE, 1)
-    joined = F.concat(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
-    return F.struct(
-        F.when(found, py_strip(joined)).otherwise(raw).alias("output"),
-        F.when(found, F.nullif(code, F.lit("")).try_cast("bigint"))
-        .otherwise(F.lit(-1))
-        .alias("exit_code"),
-    )
+
+    def cut(match: Column) -> Column:
+        mark, at = match["found"], match["at"]
+        joined = F.concat(F.left(raw, at - 1), F.substr(raw, at + F.length(mark)))
+        code = F.regexp_extract(mark, RETURN_CODE, 1)
+        return F.struct(
+            F.when(at > 0, py_strip(joined)).otherwise(raw).alias("output"),
+            F.when(at > 0, code.try_cast("bigint")).otherwise(F.lit(-1)).alias("exit_code"),
+        )
+
+    return let(first_match(raw, RETURN_CODE), cut)
 
 
 def classify_exec_result(timed_out: Column, failure: Column) -> Column:

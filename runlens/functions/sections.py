@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from runlens.functions.text import find, py_strip
+from runlens.functions.text import find, let, py_strip
 from runlens.schemas import KEYED_PREDICTIONS
 
 # Fixed log delimiters.
@@ -17,28 +19,44 @@ TRAJECTORY = ("<<TRAJ_JSON_START_7829361>>", "<<TRAJ_JSON_END_7829361>>")
 
 def extract_fenced_code(text: Column, opening: str = "```python", closing: str = "```") -> Column:
     """Body of the first fence; the rest when it stays open, all text without one."""
-    start = find(text, opening)
-    begin = start + len(opening)
-    stop = F.when(start > 0, find(text, closing, begin)).otherwise(0)
-    return (
-        F.when(start == 0, text)
-        .when(stop > 0, F.substr(text, begin, stop - begin))
-        .otherwise(F.substr(text, begin))
-    )
+
+    def body(start: Column, stop: Column) -> Column:
+        begin = start + len(opening)
+        return (
+            F.when(start == 0, text)
+            .when(stop > 0, F.substr(text, begin, stop - begin))
+            .otherwise(F.substr(text, begin))
+        )
+
+    return _marked(text, opening, closing, body)
+
+
+def _marked(
+    text: Column, opening: str, closing: str, body: Callable[[Column, Column], Column]
+) -> Column:
+    """`body` of the places of `opening` and of the `closing` behind it, 0 if absent."""
+
+    def with_stop(start: Column) -> Column:
+        stop = F.when(start > 0, find(text, closing, start + len(opening))).otherwise(0)
+        return let(stop, lambda place: body(start, place))
+
+    return let(find(text, opening), with_stop)
 
 
 def _between(text: Column, opening: str, closing: str) -> Column:
-    """Text after `opening` up to the next `closing`, null unless both are there."""
-    start = find(text, opening)
-    begin = start + len(opening)
-    stop = F.when(start > 0, find(text, closing, begin)).otherwise(0)
-    return F.when(stop > 0, F.substr(text, begin, stop - begin))
+    """Text after `opening` up to the next `closing`, null when absent or empty."""
+
+    def body(start: Column, stop: Column) -> Column:
+        begin = start + len(opening)
+        return F.when(stop > begin, F.substr(text, begin, stop - begin))
+
+    return _marked(text, opening, closing, body)
 
 
 def extract_diff(response: Column) -> Column:
     """Patch in a model answer: patch tag, diff tag, diff fence, else all of it."""
     marked = [
-        F.nullif(_between(response, opening, closing), F.lit(""))
+        _between(response, opening, closing)
         for opening, closing in (
             ("<patch>", "</patch>"),
             ("<diff>", "</diff>"),
@@ -53,12 +71,15 @@ def extract_section(log: Column, start: str, end: str) -> Column:
 
     Empty when a marker is missing or END comes first.
     """
-    opened = find(log, start)
-    closed = find(log, end)
-    begin = opened + len(start)
-    return F.when(
-        (opened > 0) & (closed > begin), py_strip(F.substr(log, begin, closed - begin))
-    ).otherwise(F.lit(""))
+
+    def cut(place: Column) -> Column:
+        begin = place["opened"] + len(start)
+        inside = (place["opened"] > 0) & (place["closed"] > begin)
+        return F.when(
+            inside, py_strip(F.substr(log, begin, place["closed"] - begin))
+        ).otherwise(F.lit(""))
+
+    return let(F.struct(find(log, start).alias("opened"), find(log, end).alias("closed")), cut)
 
 
 def extract_keyed_prediction(

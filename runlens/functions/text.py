@@ -57,6 +57,20 @@ def find(text: Column, needle: str, start: Column | int = 1) -> Column:
     return F.position(F.lit(needle), text, begin)
 
 
+def first_match(text: Column, pattern: str) -> Column:
+    """struct(found, at): text of the first match (or null) and its place (or 0).
+
+    The matched text cannot stand earlier than the match itself, so looking it
+    up gives its place in code points.
+    """
+    return let(
+        F.regexp_substr(text, F.lit(pattern)),
+        lambda found: F.struct(
+            found.alias("found"), F.coalesce(F.position(found, text), F.lit(0)).alias("at")
+        ),
+    )
+
+
 def last_match(text: Column, pattern: str, group: int) -> Column:
     """The last match of `pattern`, null when there is none."""
     return F.try_element_at(
