@@ -93,10 +93,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def one_each(docs: DataFrame, winners: DataFrame, id_col: str, key: Column) -> DataFrame:
     """One row of `docs` for each winner (_keep_id, _keep_digest); the window follows the join's own order."""
-    found = docs.withColumn("_digest", key).join(
-        winners,
-        F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")),
-        "left_semi",
+    found = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), key.alias("digest")).join(
+        winners, F.col("id").eqNullSafe(F.col("_keep_id")) & (F.col("digest") == F.col("_keep_digest")), "left_semi"
     )
-    copies = Window.partitionBy(F.col(id_col), "_digest").orderBy("_digest")
-    return found.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").select(*docs.columns)
+    copies = Window.partitionBy("id", "digest").orderBy("digest")
+    return found.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select("doc.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import exact_dedup, token_counts
+from runlens.llm import exact_dedup, mixing, packing, token_counts
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -54,3 +54,49 @@ def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op1_poisson_mixing",
+    """
+    with texts as (
+        select doc_id, source, coalesce('s' || source, 'null') as k, strlen(coalesce(text, '')) as n,
+               coalesce(doc_id::varchar, md5(coalesce(text, ''))) as name
+        from documents
+    ),
+    sources as (select k, sum(n)::double as b from texts group by k),
+    rates as (
+        select k, case when b > 0 then pow(b, 0.5) / sum(case when b > 0 then pow(b, 0.5) end) over ()
+                                       * sum(b) over () / b else 1.0 end as rate
+        from sources
+    ),
+    terms as (
+        select k, i, rate,
+               case when i = 0 then -rate else ln(rate) - ln(greatest(i, 1)::double) end as step
+        from rates, generate_series(0, 400) as g(i) where i <= ceil(rate + 12 * sqrt(rate) + 30)
+    ),
+    logs as (select k, i, exp(sum(step) over (partition by k order by i)) as p from terms),
+    steps as (select k, floor(sum(p) over (partition by k order by i) * 4503599627370496.0)::bigint as s from logs),
+    drawn as (
+        select doc_id, source, name,
+               (select count(*) from steps where steps.k = texts.k
+                and s <= ('0x' || substr(md5('42:' || name), 1, 13))::bigint) as copies
+        from texts
+    ),
+    copied as (
+        select doc_id, source, name, unnest(generate_series(1, copies))::int as copy from drawn where copies > 0
+    ),
+    ordered as (
+        select *, ('0x' || substr(md5('42:order:' || name || ':' || copy), 1, 13))::bigint as o from copied
+    )
+    select doc_id, source, copy, row_number() over (order by o, doc_id, copy) - 1 as position from ordered
+    """,
+)
+def op1_poisson_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.positions(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_minimum_bin_slack")
+def op3_minimum_bin_slack(spark: SparkSession, sf: str) -> DataFrame:
+    names = {"id": "doc_id", "crc": "ids_crc32", "tokens": "doc_tokens", "sequence": "sequence_id"}
+    return packing.pack(table(spark, sf, "documents")).withColumnsRenamed(names)

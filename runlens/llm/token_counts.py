@@ -33,8 +33,6 @@ LIMIT = 512
 COMPARED = 0x3000
 #: Merged pre-tokens that a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 300_000
-#: How byte-level vocabularies of this kind cut a text (fixed value, as published with the vocabulary).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def whole_tokens(tokenizer: Tokenizer) -> frozenset[str]:
@@ -44,13 +42,13 @@ def whole_tokens(tokenizer: Tokenizer) -> frozenset[str]:
     strings = [tokenizer.decode([i], skip_special_tokens=False) for i in ids if i not in added]
     strings = [s for s in strings if s and "�" not in s]
     found = tokenizer.encode_batch(strings, add_special_tokens=False)
-    cut = regex.compile(PATTERN)
+    cut = regex.compile(vocabulary.PATTERN)
     return frozenset(s for s, e in zip(strings, found) if len(e.ids) == 1 and cut.findall(s) == [s])
 
 
 def odd_characters(tokenizer: Tokenizer) -> str:
     """Characters below COMPARED that the pattern and the library's own cut treat differently."""
-    cut = regex.compile(PATTERN)
+    cut = regex.compile(vocabulary.PATTERN)
     odd = []
     for point in range(COMPARED):
         probe = f"a{chr(point)}1{chr(point)} {chr(point)}{chr(point)}!"
@@ -66,7 +64,7 @@ class Counter:
     def __init__(self, tokenizer: Tokenizer, whole: frozenset[str], odd: str) -> None:
         self.tokenizer = tokenizer
         self.whole = whole
-        self.cut = regex.compile(PATTERN).findall
+        self.cut = regex.compile(vocabulary.PATTERN).findall
         strange = "".join(map(regex.escape, odd))
         self.strange = regex.compile(f"[{strange}\\U{COMPARED:08x}-\\U0010ffff]").search
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
