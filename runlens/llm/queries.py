@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import exact_dedup, mixing, packing, token_counts
+from runlens.llm import exact_dedup, mixing, packing, secrets, sharding, token_counts
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -100,3 +100,33 @@ def op1_poisson_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def op3_minimum_bin_slack(spark: SparkSession, sf: str) -> DataFrame:
     names = {"id": "doc_id", "crc": "ids_crc32", "tokens": "doc_tokens", "sequence": "sequence_id"}
     return packing.pack(table(spark, sf, "documents")).withColumnsRenamed(names)
+
+
+@query("op2_zstd_novelty")
+def op2_zstd_novelty(spark: SparkSession, sf: str) -> DataFrame:
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def line(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return secrets.scan(table(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"),
+        *[count(k) for k in ("assign", "access", "hex")],
+        F.sha2(line(base), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op6_kd_tree")
+def op6_kd_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard(table(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"),
+        "size",
+        F.col("crc").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
