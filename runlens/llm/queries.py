@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import exact_dedup, mixing, packing, secrets, sharding, token_counts
+from runlens.llm import exact_dedup, mixing, near_dedup, packing, secrets, sharding, token_counts
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -130,3 +130,40 @@ def op6_kd_tree(spark: SparkSession, sf: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query(
+    "op5_signature_join",
+    r"""
+    with recursive words as (
+        select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+        from documents
+    ),
+    shingles as (
+        select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 4 then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s
+        from words
+    ),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    shared as (
+        select a.doc_id as a, b.doc_id as b, count(*) as n
+        from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all
+    ),
+    edges as (
+        select shared.a, shared.b from shared join sizes x on x.doc_id = shared.a join sizes y on y.doc_id = shared.b
+        where 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+    ),
+    reach as (
+        select doc_id as node, doc_id as top from documents
+        union
+        select edges.b, reach.top from reach join edges on edges.a = reach.node
+    )
+    select d.doc_id, coalesce(sizes.n, 0) as n_shingles, r.top as component_id, d.doc_id = r.top as kept
+    from documents d left join sizes using (doc_id) join (select node, min(top) as top from reach group by node) r on r.node = d.doc_id
+    """,
+)
+def op5_signature_join(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), words=4).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept"
+    )
