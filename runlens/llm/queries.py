@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import exact_dedup, mixing, near_dedup, packing, secrets, sharding, token_counts
+from runlens.llm import (
+    exact_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    secrets,
+    sharding,
+    token_counts,
+    vector_dedup,
+)
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -167,3 +176,31 @@ def op5_signature_join(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"), words=4).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept"
     )
+
+
+@query(
+    "op7_inverted_multi_index",
+    """
+    with recursive vectors as (
+        select vec_id, embedding::double[] as e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as n
+        from embeddings
+    ),
+    good as (select * from vectors where n > 0 and isfinite(n) and len(list_filter(e, lambda x: x is null)) = 0),
+    edges as (
+        select a.vec_id as a, b.vec_id as b
+        from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+        where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+    ),
+    reach as (
+        select vec_id as node, vec_id as top from embeddings
+        union
+        select edges.b, reach.top from reach join edges on edges.a = reach.node
+    ),
+    tops as (select node, min(top) as component_id from reach group by node),
+    counts as (select a, count(*) as n from edges group by a)
+    select node as vec_id, coalesce(n, 0) as n_links, component_id, node = component_id as kept
+    from tops left join counts on a = node
+    """,
+)
+def op7_inverted_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
