@@ -54,11 +54,11 @@ def frequent(rows: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
             [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=[key, "estimate"]
         )
 
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    total = rows.count()
     merged = rows.select(key).mapInArrow(summarise, f"{key} binary, estimate long").groupBy(key).agg(
         F.sum("estimate").alias("estimate")
     )
-    return merged.crossJoin(F.broadcast(total)).where(F.col("estimate") * (counters + 1) >= F.col("total")).select(key)
+    return merged.where(F.col("estimate") * (counters + 1) >= total).select(key)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:

@@ -86,10 +86,11 @@ def rates(
         weight = F.coalesce(F.element_at(F.create_map(*pairs), F.col("key")), F.lit(0.0)) if pairs else F.lit(0.0)
     weighted = materialize(sources.withColumn("weight", weight), "sources")
     totals = weighted.agg(
-        F.sum("bytes").alias("all_bytes"), F.sum(F.when(F.col("bytes") > 0, F.col("weight"))).alias("all_weights")
-    )
-    wanted = F.col("weight") / F.col("all_weights") * F.col("all_bytes") * size / F.col("bytes")
-    return weighted.crossJoin(F.broadcast(totals)).select(
+        F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("bytes") > 0, F.col("weight"))).alias("weights")
+    ).first()
+    all_weights = F.nullif(F.lit(float(totals["weights"] or 0)), F.lit(0.0))
+    wanted = F.col("weight") / all_weights * F.lit(int(totals["bytes"] or 0)) * size / F.col("bytes")
+    return weighted.select(
         "key", "rows", "bytes", "weight",
         F.when(F.col("bytes") > 0, F.coalesce(wanted, F.lit(0.0))).otherwise(F.lit(1.0)).alias("rate"),
     )

@@ -12,9 +12,11 @@ from runlens.llm import (
     mixing,
     near_dedup,
     packing,
+    quality,
     secrets,
     sharding,
     token_counts,
+    url_filter,
     vector_dedup,
 )
 
@@ -204,3 +206,84 @@ def op5_signature_join(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op7_inverted_multi_index(spark: SparkSession, sf: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+#: The rules of the query's contract.
+RULES = [
+    url_filter.Rule("allow", "com/"),
+    url_filter.Rule("block", "example.com/en/"),
+    url_filter.Rule("allow", "www.example.com/en/"),
+    url_filter.Rule("block", "net/es/"),
+    url_filter.Rule("block", "net/fr/"),
+]
+
+
+def _link_graph_sql() -> str:
+    def longest(value: str) -> str:
+        cases = sorted(reversed(RULES), key=lambda r: -len(r.text))
+        lines = [
+            f"when (host = '{r.host}' or host like '%.{r.host}') and starts_with(path, '{r.path}') then '{getattr(r, value)}'"
+            for r in cases
+        ]
+        return f"case {' '.join(lines)} end"
+
+    share = 100 - url_filter.FLOW
+    rounds = "".join(
+        f"""
+        m{i + 1} as materialized (
+            select host, kind, sum(mass)::bigint as mass from (
+                select w.t as host, w.kind, mass * {url_filter.FLOW} // 100 // degree as mass
+                from m{i} m join ways w on w.f = m.host and w.kind = m.kind
+                union all select host, kind, seed * {share} // 100 from start
+            ) group by all
+        ),"""
+        for i in range(url_filter.ROUNDS)
+    )
+    return rf"""
+    with rows as (
+        select page_id, html,
+               translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+               regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
+        from pages
+    ),
+    judged as (select *, {longest('text')} as rule, {longest('verdict')} as ruled from rows),
+    refs as (select host as f, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)) as link from rows),
+    links as (
+        select distinct f, t from (
+            select f, translate(regexp_extract(case when starts_with(link, '//') then 'x:' || link else link end,
+                                               '(?s)^.*?://([^/?#]*)', 1),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+            from refs where starts_with(link, '//') or contains(link, '://')
+        ) where f <> t and f <> '' and t <> ''
+    ),
+    both_ways as (select f, t, 'trust' as kind from links union all select t, f, 'distrust' from links),
+    ways as (select *, count(*) over (partition by f, kind) as degree from both_ways),
+    seeds as (
+        select host, case when count(*) filter (ruled = 'allow') * 2 > count(*) then 'trust'
+                          when count(*) filter (ruled = 'block') * 2 > count(*) then 'distrust' end as kind
+        from judged where host <> '' group by host
+    ),
+    start as (select host, kind, {url_filter.MASS} // count(*) over (partition by kind) as seed from seeds where kind is not null),
+    m0 as (select host, kind, seed as mass from start),{rounds}
+    bad as (
+        select host from m{url_filter.ROUNDS} group by host
+        having coalesce(sum(mass) filter (kind = 'distrust'), 0) > coalesce(sum(mass) filter (kind = 'trust'), 0)
+    )
+    select page_id, host, path, rule, coalesce(ruled, case when bad.host is not null then 'block' else 'allow' end) as verdict
+    from judged left join bad using (host)
+    """
+
+
+@query("op4_link_graph", _link_graph_sql())
+def op4_link_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages"), RULES).withColumnRenamed("id", "page_id")
+
+
+@query("op8_ordinal_quality")
+def op8_ordinal_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, quality.graded(table(spark, sf, "labels")), quality.GOOD)
+    return quality.rate(docs, model, quality.GOOD).select(
+        F.col("id").alias("doc_id"), "score", "expected_grade", F.col("tail").alias("tail_probability"), "kept"
+    )
