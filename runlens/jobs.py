@@ -45,14 +45,14 @@ def analyze_results(spark: SparkSession, results: str, output: str) -> dict[str,
     """
     stored = readers.read_jsonl_strict(spark, results, schemas.INSTANCE_RESULT)
     runs = materialize(signals.explode_runs(stored), "runs")
-    rollup = materialize(
-        signals.instance_rollup(runs, stored.select("instance_id", "repo").distinct()), "rollup"
-    )
+    # One row per id, also where an id is stored again or once without its repo.
+    instances = materialize(stored.groupBy("instance_id").agg(F.min("repo").alias("repo")), "instances")
+    rollup = materialize(signals.instance_rollup(runs, instances), "rollup")
     tables = {
-        "overall": reports.overall_stats(runs),
+        "overall": reports.overall_stats(runs, instances),
         "summary": signals.eval_summary(rollup),
         "outcomes": reports.outcome_histogram(runs),
-        "per_repo": reports.per_repo_table(runs),
+        "per_repo": reports.per_repo_table(runs, instances),
         "distributions": reports.cohort_stats(runs, rollup),
         "group_signal": signals.group_signal(rollup),
         "mixed_outcomes": signals.mixed_histogram(rollup),

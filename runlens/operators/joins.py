@@ -78,21 +78,31 @@ def test_status_grade(expected: DataFrame, statuses: DataFrame, applied: DataFra
     without status has not passed; a grading error leaves an instance
     unresolved.
     """
-    seen = statuses.groupBy("instance_id", "test").agg(
-        F.bool_or(F.col("status") == "PASSED").alias("_passed")
-    )
-    passed = F.coalesce(F.col("_passed"), F.lit(False))
-    graded = (
-        expected.join(seen, ["instance_id", "test"], "left")
-        .groupBy("instance_id")
-        .agg(
-            F.bool_and(passed).alias("_all"),
-            F.count_if(passed & (F.col("kind") == "FAIL_TO_PASS")).alias("f2p_passed"),
-            F.count_if(F.col("kind") == "FAIL_TO_PASS").alias("f2p_total"),
-            F.count_if(passed & (F.col("kind") == "PASS_TO_PASS")).alias("p2p_passed"),
-            F.count_if(F.col("kind") == "PASS_TO_PASS").alias("p2p_total"),
+    # Expected and seen tests meet in one aggregate; neither is joined to the other.
+    no = F.lit(0)
+    both = expected.select(
+        "instance_id",
+        "test",
+        (F.col("kind") == "FAIL_TO_PASS").cast("bigint").alias("f2p"),
+        (F.col("kind") == "PASS_TO_PASS").cast("bigint").alias("p2p"),
+        F.lit(1).alias("wanted"),
+        no.alias("passed"),
+    ).unionByName(
+        statuses.select(
+            "instance_id", "test", no.alias("f2p"), no.alias("p2p"), no.alias("wanted"),
+            F.coalesce((F.col("status") == "PASSED").cast("int"), no).alias("passed"),
         )
     )
+    tests = both.groupBy("instance_id", "test").agg(
+        F.sum("f2p").alias("f2p"), F.sum("p2p").alias("p2p"), F.max("wanted").alias("wanted"), F.max("passed").alias("passed")
+    )
+    graded = tests.where("wanted = 1").groupBy("instance_id").agg(
+        (F.min("passed") == 1).alias("_all"),
+        F.sum(F.col("f2p") * F.col("passed")).alias("f2p_passed"),
+        F.sum("f2p").alias("f2p_total"),
+        F.sum(F.col("p2p") * F.col("passed")).alias("p2p_passed"),
+        F.sum("p2p").alias("p2p_total"),
+    )
     usable = (
         F.col("error").isNull()
         & F.col("patch_exists")

@@ -1,8 +1,11 @@
 """Exact distribution figures without holding a group in one task.
 
-Values are counted per distinct value, then per coarse bucket. Mean and spread
-come from the bucket sums; the ranks a percentile needs fall into a few
-buckets, and only those are sorted. The source is read once.
+Values are counted per distinct value. The ranks that percentiles need are then
+found along the 64 bits of a double, 16 at a time: a pass counts rows per next
+prefix below the prefixes that still hold a wanted rank, and keeps the ones that
+do. Only counts are shuffled, every pass is a partial aggregate, and a window
+never sees more than 65536 counts, however the values are concentrated. All of it is one
+lazy plan.
 """
 
 from __future__ import annotations
@@ -12,39 +15,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.session import materialize
-
 PERCENTILES = (10, 25, 50, 75, 90)
-BUCKETS_PER_E = 4000
-
+STEP_BITS = 16
+_LOW_63 = (1 << 63) - 1
 
-def magnitude_bucket(value: Column) -> Column:
-    """Whole number that never falls as `value` grows; 0.025 % of a value wide.
 
-    It depends on the value alone and Spark computes log1p with StrictMath, so
-    a re-run task on another machine puts a value into the same bucket.
-    """
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * BUCKETS_PER_E)).cast("bigint")
+def ordered_bits(value: Column) -> Column:
+    """The bits of a double as a whole number in the same order."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(_LOW_63))).otherwise(bits)
 
 
-def _bucket_centre(bucket: Column) -> Column:
-    return F.signum(bucket.cast("double")) * F.expm1(
-        (F.abs(bucket) + 0.5).cast("double") / BUCKETS_PER_E
-    )
+def from_ordered_bits(code: Column) -> Column:
+    bits = F.when(code < 0, code.bitwiseXOR(F.lit(_LOW_63))).otherwise(code)
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
 
 
 def histogram(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Rows per distinct value: groups, `value`, `weight`, as a stored table.
-
-    The figures need it several times; storing it keeps the source from being
-    planned and read once for each of them.
-    """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, (F.col(value).cast("double") + 0.0).alias("value"))
-        .agg(F.count(F.lit(1)).alias("weight"))
+    """Rows per distinct value: groups, `value`, `weight`; a group without values keeps a row of weight 0."""
+    return df.groupBy(*groups, (F.col(value).cast("double") + 0.0).alias("value")).agg(
+        F.count(F.col(value)).alias("weight")
     )
-    return materialize(counted, "histogram")
 
 
 def weighted_stats(
@@ -53,111 +44,76 @@ def weighted_stats(
     percents: Sequence[int] = PERCENTILES,
     small_groups: bool = False,
 ) -> DataFrame:
-    """n, mean, std (population), min, max and p10, p25, ... per group.
+    """n, mean, std (population), min, max and p10, p25, ... per group; n = 0 and nulls without values.
 
     `counted` has group columns without nulls, `value` (double) and `weight`;
     a value may occur in several rows. Percentiles interpolate linearly. Set
-    `small_groups` when the query itself fixes the number of groups: the rank
-    table then has at most groups x 2 x percents rows and is broadcast.
+    `small_groups` when the query itself fixes the number of groups: the tables
+    of moments and ranks then have a fixed size and are broadcast.
     """
     groups = list(groups)
-    bucketed = counted.withColumn("_bucket", magnitude_bucket(F.col("value")))
-    away = F.col("value") - _bucket_centre(F.col("_bucket"))
-    sizes = bucketed.groupBy(*groups, "_bucket").agg(
-        F.sum("weight").alias("_size"),
-        F.sum(F.col("weight") * away).alias("_away"),
-        F.sum(F.col("weight") * away * away).alias("_away2"),
-        F.min("value").alias("_min"),
-        F.max("value").alias("_max"),
-    )
 
-    whole = Window.partitionBy(*groups)
-    edges = sizes.select(
-        *groups,
-        "_bucket",
-        "_size",
-        "_away",
-        "_away2",
-        "_min",
-        "_max",
-        (F.sum("_size").over(whole.orderBy("_bucket")) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(whole).alias("_total"),
-        (
-            F.sum(F.col("_size") * _bucket_centre(F.col("_bucket")) + F.col("_away")).over(whole)
-            / F.sum("_size").over(whole)
-        ).alias("_mean"),
-    )
-    inner = F.col("_away2") - F.col("_away") * F.col("_away") / F.col("_size")
-    shift = (
-        _bucket_centre(F.col("_bucket")) + F.col("_away") / F.col("_size") - F.col("_mean")
+    def attach(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if small_groups else table
+
+    v, w = F.col("value"), F.col("weight")
+    moments = counted.groupBy(*groups).agg(
+        F.sum("weight").alias("n"),
+        F.try_divide(F.sum(v * w), F.sum(w)).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
-    spread = F.sum(F.greatest(inner, F.lit(0.0)) + F.col("_size") * shift * shift)
-    moments = edges.groupBy(*groups).agg(
-        F.max("_total").alias("n"),
-        F.max("_mean").alias("mean"),
-        F.sqrt(spread / F.max("_total")).alias("std"),
-        F.min("_min").alias("min"),
-        F.max("_max").alias("max"),
+    away = F.col("value") - F.col("mean")
+    spread = (
+        counted.join(attach(moments.select(*groups, "mean")), groups)
+        .groupBy(*groups)
+        .agg(F.sqrt(F.try_divide(F.sum(w * away * away), F.sum(w))).alias("std"))
     )
 
-    wanted = _wanted_ranks(edges, groups, percents)
-    if small_groups:
-        wanted = F.broadcast(wanted)
-    ordered = (
-        Window.partitionBy(*groups, "_bucket")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    placed = bucketed.join(wanted, [*groups, "_bucket"]).select(
+    at = "(n - 1) * p / 100D"
+    wanted = moments.where("n > 0").select(
         *groups,
-        "value",
-        "weight",
-        "_ranks",
-        (F.col("_before") + F.sum("weight").over(ordered) - F.col("weight")).alias("_first"),
+        F.lit(0).cast("bigint").alias("prefix"),
+        F.expr(
+            f"""transform(array_distinct(flatten(transform(array({', '.join(map(str, percents))}),
+            p -> array(floor({at}), ceil({at}))))), r -> named_struct('rank', r, 'before', 0L))"""
+        ).alias("ranks"),
     )
-    hits = placed.select(
-        *groups,
-        "value",
-        F.explode(F.expr(f"filter(_ranks, r -> {_inside('r.low')} or {_inside('r.high')})")).alias(
-            "_r"
-        ),
-        "_first",
-        "weight",
+    coded = counted.where("weight > 0").select(*groups, ordered_bits(v).alias("code"), "weight")
+    for shift in range(64 - STEP_BITS, -1, -STEP_BITS):
+        wanted = _next_prefix(coded, attach(wanted), groups, shift)
+    found = wanted.select(*groups, from_ordered_bits(F.col("prefix")).alias("value"), F.explode("ranks").alias("r"))
+    # At most two entries per percentile.
+    ranked = found.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("r.rank", "value"))).alias("_at"))
+
+    def percentile(p: int) -> Column:
+        place = f"((n - 1) * {p} / 100D)"
+        low, high = f"element_at(_at, floor({place}))", f"element_at(_at, ceil({place}))"
+        share = f"({place} - floor({place}))"
+        return F.expr(f"case when {share} = 0 then {low} else {low} * (1 - {share}) + {high} * {share} end").alias(f"p{p}")
+
+    return (
+        moments.join(attach(spread), groups)
+        .join(attach(ranked), groups, "left")
+        .select(*groups, "n", "mean", "std", "min", "max", *[percentile(p) for p in percents])
     )
-    return moments.join(_interpolated(hits, groups, percents), groups)
-
-
-def _inside(rank: str, first: str = "_first", size: str = "weight") -> str:
-    return f"({rank} >= {first} and {rank} < {first} + {size})"
-
-
-def _wanted_ranks(edges: DataFrame, groups: list[str], percents: Sequence[int]) -> DataFrame:
-    """The buckets that hold a rank some percentile needs, with those ranks."""
-    at = "(_total - 1) * p / 100D"
-    ranks = f"""transform(array({', '.join(map(str, percents))}), p -> named_struct(
-        'percent', p, 'low', floor({at}), 'high', ceil({at}), 'share', {at} - floor({at})))"""
-    low, high = (_inside(f"r.{side}", "_before", "_size") for side in ("low", "high"))
-    return edges.select(
-        *groups,
-        "_bucket",
-        "_before",
-        F.expr(f"filter({ranks}, r -> {low} or {high})").alias("_ranks"),
-    ).where(F.size("_ranks") > 0)
-
-
-def _interpolated(hits: DataFrame, groups: list[str], percents: Sequence[int]) -> DataFrame:
-    def between(percent: int) -> Column:
-        def pick(side: str) -> str:
-            chosen = f"_r.percent = {percent} and {_inside(f'_r.{side}')}"
-            return f"max(case when {chosen} then value end)"
 
-        share = f"max(case when _r.percent = {percent} then _r.share end)"
-        return F.expr(
-            f"case when {share} = 0 then {pick('low')}"
-            f" else {pick('low')} * (1 - {share}) + {pick('high')} * {share} end"
-        )
 
-    return hits.groupBy(*groups).agg(*[between(p).alias(f"p{p}") for p in percents])
+def _next_prefix(coded: DataFrame, wanted: DataFrame, groups: list[str], shift: int) -> DataFrame:
+    """The prefixes, STEP_BITS longer, that hold the wanted ranks; `before` counts the rows of the group below."""
+    # Before the first step there is one prefix, 0, for all codes.
+    earlier = F.shiftright("code", shift + STEP_BITS) if shift + STEP_BITS < 64 else F.lit(0).cast("bigint")
+    below = coded.select(*groups, earlier.alias("prefix"), F.shiftright("code", shift).alias("next"), "weight")
+    sizes = below.join(wanted, [*groups, "prefix"]).groupBy(*groups, "prefix", "ranks", "next").agg(
+        F.sum("weight").alias("size")
+    )
+    within = Window.partitionBy(*groups, "prefix").orderBy("next").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sizes.withColumn("first", F.sum("size").over(within) - F.col("size"))
+    held = F.expr(
+        """transform(filter(ranks, r -> r.rank >= r.before + first and r.rank < r.before + first + size),
+        r -> named_struct('rank', r.rank, 'before', r.before + first))"""
+    )
+    return placed.select(*groups, F.col("next").alias("prefix"), held.alias("ranks")).where(F.size("ranks") > 0)
 
 
 def distribution_stats(

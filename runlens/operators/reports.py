@@ -125,40 +125,41 @@ def multi_turn_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def overall_stats(runs: DataFrame) -> DataFrame:
-    """One row over all runs; instances are counted after a first rollup."""
+def overall_stats(runs: DataFrame, instances: DataFrame) -> DataFrame:
+    """One row over all runs and all stored instances, those without runs included.
+
+    `instances` has one row per id.
+    """
     per_instance = runs.groupBy("instance_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("resolved").alias("ok"),
         F.sum(F.col("steps").cast("bigint")).alias("steps"),
         F.sum("total_tokens").alias("tokens"),
     )
+    stored = instances.agg(F.count(F.lit(1))).scalar()
     return per_instance.agg(
-        F.count(F.lit(1)).alias("instances"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_runs"),
         F.coalesce(F.sum("ok"), F.lit(0)).alias("resolved_runs"),
         F.count_if(F.col("ok") > 0).alias("resolved_instances"),
         F.coalesce(F.sum("steps"), F.lit(0)).alias("total_steps"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
     ).select(
+        stored.alias("instances"),
         "*",
-        F.coalesce(
-            F.floor(F.try_divide("total_runs", "instances")), F.lit(0)
-        ).alias("runs_per_instance"),
+        F.coalesce(F.floor(F.try_divide(F.col("total_runs"), stored)), F.lit(0)).alias("runs_per_instance"),
         F.try_divide("resolved_runs", "total_runs").alias("run_rate"),
-        F.try_divide("resolved_instances", "instances").alias("any_rate"),
+        F.try_divide(F.col("resolved_instances"), stored).alias("any_rate"),
     )
 
 
-def per_repo_table(runs: DataFrame) -> DataFrame:
-    """One row per repo and one for all of them (`scope` = overall).
+def per_repo_table(runs: DataFrame, instances: DataFrame) -> DataFrame:
+    """One row per repo that has runs and one for all of them (`scope` = overall).
 
-    Runs are rolled up to instances first, which makes the instance count a
-    plain sum and leaves few rows for the grouping sets.
+    Runs are rolled up to instances first; the repo is then joined to one row
+    per instance. `instances` counts all stored ones of a repo, those without
+    runs included; it has one row per id.
     """
-    per_instance = runs.groupBy(
-        F.coalesce("repo", F.lit("unknown")).alias("repo"), "instance_id"
-    ).agg(
+    per_instance = runs.groupBy("instance_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("resolved").alias("ok"),
         F.sum(F.col("steps").cast("bigint")).alias("steps"),
@@ -166,15 +167,18 @@ def per_repo_table(runs: DataFrame) -> DataFrame:
     )
     repo = F.col("repo")
     return (
-        per_instance.groupingSets([[repo], []], repo)
+        instances.select("instance_id", F.coalesce("repo", F.lit("unknown")).alias("repo"))
+        .join(per_instance, "instance_id", "left")
+        .groupingSets([[repo], []], repo)
         .agg(
             F.grouping("repo").alias("_all"),
             F.count(F.lit(1)).alias("instances"),
-            F.sum("n").alias("runs"),
-            F.sum("ok").alias("resolved_runs"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("runs"),
+            F.coalesce(F.sum("ok"), F.lit(0)).alias("resolved_runs"),
             F.sum("steps").alias("_steps"),
             F.sum("tokens").alias("_tokens"),
         )
+        .where((F.col("_all") == 1) | (F.col("runs") > 0))
         .select(
             F.when(F.col("_all") == 1, "overall").otherwise("repo").alias("scope"),
             F.when(F.col("_all") == 1, "").otherwise(repo).alias("repo"),
@@ -238,6 +242,11 @@ def cohort_stats(runs: DataFrame, rollup: DataFrame) -> DataFrame:
         lambda cohort: cohort.isNotNull(),
     )
     fanned = counted.select(F.explode(sets).alias("cohort"), "metric", "value", "weight")
+    # A cohort without runs has its row, too.
+    none = tagged.sparkSession.createDataFrame(
+        [(c, m, None, 0) for c in COHORTS for m in COHORT_METRICS], "cohort string, metric string, value double, weight long"
+    )
+    fanned = fanned.unionByName(none)
     groups = ["cohort", "metric"]
     return stats_columns(weighted_stats(fanned, groups, small_groups=True), groups)
 

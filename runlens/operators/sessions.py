@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from runlens.operators.running import running
 from runlens.schemas import EPISODE_REASONS
 
-ATTEMPTS_PER_PART = 1000
-
 
 def session_replay(turns: DataFrame, has_verifiers: bool = True) -> DataFrame:
     """What a session that stops at its first passing turn keeps.
@@ -156,11 +154,13 @@ def context_blocks(messages: DataFrame) -> DataFrame:
     )
 
 
-def prior_context(messages: DataFrame, attempts_per_part: int = ATTEMPTS_PER_PART) -> DataFrame:
+def prior_context(messages: DataFrame, attempts_per_part: int) -> DataFrame:
     """Text of all attempts and feedback so far, as injected into the next call.
 
-    One row per session (`part` 0) unless it has more attempts than
-    `attempts_per_part`; the parts joined by a blank line are the whole text.
+    `context_blocks` are the contract; this form is for callers that want
+    rendered text. A row is (session_id, part, context) whatever the number of
+    attempts: part p holds `attempts_per_part` of them, and the parts joined by
+    a blank line are the whole text. The caller names the size.
     """
     blocks = context_blocks(messages)
     ordered = F.sort_array(F.collect_list(F.struct("turn", "block")))

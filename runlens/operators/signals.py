@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from runlens.schemas import RUN
 
-RUNS_PER_RECORD = 1000
-
 
 def instance_rollup(runs: DataFrame, instances: DataFrame | None = None) -> DataFrame:
     """One row per instance; with `instances`, those without runs appear with 0.0.
@@ -52,12 +50,13 @@ def instance_rollup(runs: DataFrame, instances: DataFrame | None = None) -> Data
     )
 
 
-def nest_runs(runs: DataFrame, per_record: int = RUNS_PER_RECORD) -> DataFrame:
+def nest_runs(runs: DataFrame, per_record: int) -> DataFrame:
     """Result records with their runs nested in order of `run_idx` (dense from 0).
 
-    An instance gives one record (`part` 0) unless it has more than
-    `per_record` runs; the others follow in further parts, so that no record
-    and no task ever holds an unbounded list.
+    Long runs are the contract of all reports; this form is for callers that
+    want lists. A record is (instance_id, part, repo, runs) whatever the number
+    of runs: part p holds the runs from p * `per_record` on. The caller names
+    the size, so no list grows with the data unasked.
     """
     fields = ["run_idx", *[f.name for f in RUN.fields if f.name in runs.columns]]
     return (

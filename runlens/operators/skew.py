@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.session import materialize
+
 HEAVY_SHARE = 1000
-SPREAD = 256
+#: Rows of a heavy key that share a slot of the shuffle, about.
+SLOT_ROWS = 100_000
 
 
 def join_summary(
@@ -21,15 +24,19 @@ def join_summary(
     `count` is the summary's number of rows per key. Keys with more than
     1/heavy_share of all rows are fewer than heavy_share, so their summaries
     are broadcast whatever the data; their rows skip the join by key and are
-    spread over the shuffle instead of meeting in one task. All other keys
-    take the shuffled join.
+    spread over as many slots as their count asks for. All other keys take the
+    shuffled join. Rows without a key match nothing and are spread likewise.
+    The summary is made once and stored, one row per key.
     """
     fields = [c for c in summary.columns if c != key]
     hashable = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
-    total = summary.agg(F.sum(count)).scalar()
+    summary = materialize(summary, "summary")
+    total = summary.agg(F.sum(count)).first()[0] or 0
     heavy = F.broadcast(
         summary.where(F.col(count) * heavy_share > total).select(
-            F.col(key).alias("_heavy_key"), F.struct(*fields).alias("_heavy")
+            F.col(key).alias("_heavy_key"),
+            F.struct(*fields).alias("_heavy"),
+            F.ceil(F.col(count) / SLOT_ROWS).alias("_slots"),
         )
     )
     # Rows of heavy keys have no key to match and a slot of their own choice.
@@ -40,12 +47,15 @@ def join_summary(
         F.xxhash64(key).alias("_light_slot"),
         F.struct(*fields).alias("_light"),
     )
+    own = F.xxhash64(*[rows[c] for c in hashable])
+    everywhere = max(1, -(-total // SLOT_ROWS))
     is_heavy = F.col("_heavy").isNotNull()
     slotted = rows.join(heavy, rows[key] == F.col("_heavy_key"), "left").select(
         *[rows[c] for c in rows.columns],
         "_heavy",
         F.when(~is_heavy, rows[key]).alias("_key"),
-        F.when(is_heavy, F.xxhash64(*[rows[c] for c in hashable]) % SPREAD)
+        F.when(is_heavy, F.pmod(own, F.col("_slots")))
+        .when(rows[key].isNull(), F.pmod(own, F.lit(everywhere)))
         .otherwise(F.xxhash64(rows[key]))
         .alias("_slot"),
     )

@@ -14,7 +14,8 @@ select cast(o.o_custkey as varchar) as instance_id, n.n_name as repo, o.o_orderk
  row_number() over (partition by o.o_custkey order by o.o_orderkey) - 1 as run_idx
 from orders o join customer c on c.c_custkey = o.o_custkey join nation n on n.n_nationkey = c.c_nationkey
 left join (select l_orderkey, count(*) as n, sum(l_quantity) as q from lineitem group by l_orderkey) l
- on l.l_orderkey = o.o_orderkey""",
+ on l.l_orderkey = o.o_orderkey
+where o.o_custkey % 11 <> 0""",
     "all_instances": """
 select cast(c_custkey as varchar) as instance_id, n_name as repo
 from customer join nation on c_nationkey = n_nationkey""",

@@ -99,12 +99,12 @@ def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
     "prior_context",
     f"""
 with {BLOCKS.strip()}
-select session_id, (attempt - 1) // 1000 as part, string_agg(block, chr(10) || chr(10) order by turn) as context
+select session_id, (attempt - 1) // 3 as part, string_agg(block, chr(10) || chr(10) order by turn) as context
 from blocks group by 1, 2
 """,
 )
 def prior_context(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.prior_context(fx.turns(spark, sf))
+    return sessions.prior_context(fx.turns(spark, sf), attempts_per_part=3)
 
 
 CHECKS = ("ast_check", "swe_test")

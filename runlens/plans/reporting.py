@@ -112,31 +112,31 @@ def patches_generated(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "overall_stats",
     """
-select count(distinct instance_id) as instances, count(*) as total_runs, count(*) filter (resolved) as resolved_runs,
+select (select count(*) from all_instances) as instances, count(*) as total_runs, count(*) filter (resolved) as resolved_runs,
  count(distinct instance_id) filter (resolved) as resolved_instances, sum(steps)::bigint as total_steps,
- sum(total_tokens)::bigint as total_tokens, count(*) // count(distinct instance_id) as runs_per_instance,
+ sum(total_tokens)::bigint as total_tokens, count(*) // (select count(*) from all_instances) as runs_per_instance,
  round(count(*) filter (resolved) / count(*)::double, 6) as run_rate,
- round(count(distinct instance_id) filter (resolved) / count(distinct instance_id)::double, 6) as any_rate from runs
+ round(count(distinct instance_id) filter (resolved) / (select count(*) from all_instances)::double, 6) as any_rate from runs
 """,
 )
 def overall_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(reports.overall_stats(fx.bare_runs(spark, sf)), "run_rate", "any_rate")
+    stats = reports.overall_stats(fx.bare_runs(spark, sf), fx.instances_of_runs(spark, sf))
+    return _rounded(stats, "run_rate", "any_rate")
 
 
 @query(
     "per_repo_table",
     """
-select case when grouping(repo) = 1 then 'overall' else 'repo' end as scope, coalesce(repo, '') as repo,
- count(distinct instance_id) as instances, count(*) as runs, count(*) filter (resolved) as resolved_runs,
- round(count(*) filter (resolved) / count(*)::double, 6) as rate, round(sum(steps) / count(*)::double, 6) as avg_steps,
- round(sum(total_tokens) / count(*)::double, 6) as avg_tokens
-from runs group by grouping sets ((repo), ())
+select case when grouping(i.repo) = 1 then 'overall' else 'repo' end as scope, coalesce(i.repo, '') as repo,
+ count(distinct i.instance_id) as instances, count(run_id) as runs, count(*) filter (resolved) as resolved_runs,
+ round(count(*) filter (resolved) / count(run_id)::double, 6) as rate, round(sum(steps) / count(run_id)::double, 6) as avg_steps,
+ round(sum(total_tokens) / count(run_id)::double, 6) as avg_tokens
+from all_instances i left join runs using (instance_id) group by grouping sets ((i.repo), ()) having count(run_id) > 0
 """,
 )
 def per_repo(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(
-        reports.per_repo_table(fx.runs(spark, sf)), "rate", "avg_steps", "avg_tokens"
-    )
+    table = reports.per_repo_table(fx.bare_runs(spark, sf), fx.instances_of_runs(spark, sf))
+    return _rounded(table, "rate", "avg_steps", "avg_tokens")
 
 
 # A mean may end exactly half-way between two rounded values; the nudge lets

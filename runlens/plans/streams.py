@@ -59,9 +59,8 @@ def _run_stream(spark: SparkSession, source: str, target: str, checkpoint: str)
 @query(
     "stream_progress",
     """
-select sum(n)::bigint as done, count(*) as total, sum(case when resolve_rate > 0 then n else 0 end)::bigint as resolved_any,
- round(sum(resolve_rate * n) / sum(n), 6) as avg_resolve_rate
-from (select *, case when cast(instance_id as bigint) % 3 = 0 then 2 else 1 end as n from rollup_view)
+select count(*) as done, count(*) as total, count(*) filter (resolve_rate > 0) as resolved_any,
+ round(avg(resolve_rate), 6) as avg_resolve_rate from rollup_view
 """,
 )
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,6 +70,6 @@ def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     total = fx.table(spark, sf, "customer").count()
     rows = ledger.progress(ledger.stream_results(spark, source, schema), total)
     ledger.run_progress(rows, target, work_path(spark, "progress-cp")).awaitTermination()
-    return spark.read.parquet(target).select(
+    return ledger.read_progress(spark, target).select(
         "done", "total", "resolved_any", F.round("avg_resolve_rate", 6).alias("avg_resolve_rate")
     )

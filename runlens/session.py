@@ -37,7 +37,7 @@ def sized_for(input_bytes: int) -> dict[str, str]:
     AQE merges shuffle partitions but never adds any, so a large job has to
     start with enough of them: 128 MiB each, which a task sorts in memory.
     """
-    partitions = min(max(input_bytes // (128 * MIB), 200), 200_000)
+    partitions = max(-(-input_bytes // (128 * MIB)), 200)
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * MIB),

@@ -117,9 +117,12 @@ def run_ledger(
     return writer.start()
 
 
-def progress(results: DataFrame, total: int) -> DataFrame:
-    """Running done / total and mean resolve rate: one row of state."""
-    return results.agg(
+def progress(results: DataFrame, total: int, key: str = "instance_id") -> DataFrame:
+    """Running done / total and mean resolve rate, each id once.
+
+    A streaming source keeps the ids in its state store, besides one row of sums.
+    """
+    return results.where(F.col(key).isNotNull()).dropDuplicates([key]).agg(
         F.count(F.lit(1)).alias("done"),
         F.count_if(F.col("resolve_rate") > 0).alias("resolved_any"),
         F.avg("resolve_rate").alias("avg_resolve_rate"),
@@ -132,10 +135,10 @@ def progress(results: DataFrame, total: int) -> DataFrame:
 
 
 def run_progress(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep the latest progress row of `progress` in a small Parquet table."""
+    """Store the row of `progress` after each batch, in a folder per batch (see `read_progress`)."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
     writer = (
         rows.writeStream.outputMode("complete")
@@ -145,3 +148,9 @@ def run_progress(rows: DataFrame, path: str, checkpoint: str, once: bool = True)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row: a batch that is being written never takes the place of an earlier one."""
+    rows = spark.read.parquet(path)
+    return rows.orderBy(F.desc(BATCH)).limit(1)

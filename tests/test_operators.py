@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from runlens.operators import images, joins, reports, sampling, scoring, sessions, sets, signals
-from runlens.operators.quantiles import approx_distribution, distribution_stats, magnitude_bucket
+from runlens.operators.quantiles import approx_distribution, distribution_stats, from_ordered_bits, ordered_bits
 from runlens.operators.running import running
 from runlens.operators.skew import join_summary
 
@@ -80,16 +80,32 @@ def test_distribution_equals_numpy_on_uneven_groups(spark):
             assert row[name] == pytest.approx(np.percentile(values, p), rel=1e-12, abs=1e-12)
 
 
-def test_empty_distribution_has_no_rows(spark):
-    df = spark.createDataFrame([("a", None)], "g string, v double")
-    assert distribution_stats(df, ["g"], "v").count() == 0
+def test_a_group_without_values_has_n_0(spark):
+    df = spark.createDataFrame([("a", None), ("b", 1.5)], "g string, v double")
+    got = {r.g: (r.n, r["mean"], r["median"]) for r in distribution_stats(df, ["g"], "v").collect()}
+    assert got == {"a": (0, None, None), "b": (1, 1.5, 1.5)}
+    assert distribution_stats(df.limit(0), ["g"], "v").count() == 0
 
 
-def test_buckets_never_fall(spark):
-    values = sorted([0.0, -1e-300, 1e-300, *(s * 10**e for s in (-1.5, 1.0, 2.5) for e in range(-9, 12))])
+def test_concentrated_values(spark):
+    """A day of epoch seconds, and many tiny scores: few distinct prefixes, many values below them."""
+    day = spark.range(1_000_000).select(F.lit("day").alias("g"), (F.lit(1.7e9) + F.col("id") % 86_400).alias("v"))
+    tiny = spark.range(100_000).select(F.lit("tiny").alias("g"), (F.col("id") * 2e-9).alias("v"))
+    got = {r.g: r for r in distribution_stats(day.union(tiny), ["g"], "v", small_groups=True).collect()}
+    seconds = np.sort(1.7e9 + np.arange(1_000_000) % 86_400)
+    scores = np.arange(100_000) * 2e-9
+    for name, values in (("day", seconds), ("tiny", scores)):
+        assert got[name].n == len(values) and got[name]["std"] == pytest.approx(values.std(), rel=1e-9)
+        for p, column in ((10, "p10"), (25, "p25"), (50, "median"), (75, "p75"), (90, "p90")):
+            assert got[name][column] == pytest.approx(np.percentile(values, p), rel=1e-12)
+
+
+def test_ordered_bits_keep_the_order_and_come_back(spark):
+    values = sorted([0.0, -1e-300, 1e-300, 5e-324, *(s * 10**e for s in (-1.5, 1.0, 2.5) for e in range(-9, 12))])
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
-    buckets = [r.b for r in df.select("i", magnitude_bucket(F.col("v")).alias("b")).orderBy("i").collect()]
-    assert buckets == sorted(buckets)
+    code = ordered_bits(F.col("v"))
+    rows = df.select("i", "v", code.alias("b"), from_ordered_bits(code).alias("back")).orderBy("i").collect()
+    assert [r.b for r in rows] == sorted({r.b for r in rows}) and all(r.v == r.back for r in rows)
 
 
 def test_approximate_distribution_is_close(spark):
@@ -276,11 +292,17 @@ def test_nested_runs_come_in_bounded_parts(spark):
 def test_outcomes_and_tables(runs):
     got = [(r.reason, r.runs, r.share) for r in reports.outcome_histogram(runs).collect()]
     assert got == [("submit", 2, 0.4), ("error", 1, 0.2), ("timeout", 1, 0.2), ("unknown", 1, 0.2)]
-    table = [(r.scope, r.repo, r.instances, r.runs, r.resolved_runs) for r in reports.per_repo_table(runs).collect()]
-    assert table == [("overall", "", 3, 5, 2), ("repo", "r1", 2, 4, 1), ("repo", "unknown", 1, 1, 1)]
-    overall = reports.overall_stats(runs).first()
-    assert (overall.instances, overall.total_runs, overall.runs_per_instance, overall.resolved_runs) == (3, 5, 1, 2)
-    empty = reports.overall_stats(runs.limit(0)).first()
+    ids = runs.groupBy("instance_id").agg(F.min("repo").alias("repo"))
+    spark = runs.sparkSession
+    stored = ids.union(spark.createDataFrame([("z1", "r1"), ("z2", "never run")], "instance_id string, repo string"))
+    table = [
+        (r.scope, r.repo, r.instances, r.runs, r.resolved_runs) for r in reports.per_repo_table(runs, stored).collect()
+    ]
+    assert table == [("overall", "", 5, 5, 2), ("repo", "r1", 3, 4, 1), ("repo", "unknown", 1, 1, 1)]
+    overall = reports.overall_stats(runs, stored).first()
+    assert (overall.instances, overall.total_runs, overall.runs_per_instance, overall.resolved_runs) == (5, 5, 1, 2)
+    assert overall.any_rate == pytest.approx(reports.overall_stats(runs, ids).first().any_rate * 3 / 5)
+    empty = reports.overall_stats(runs.limit(0), stored.limit(0)).first()
     assert empty.total_runs == 0 and empty.run_rate is None
 
 
@@ -381,7 +403,7 @@ def test_context_blocks(spark):
         ("u", "### Attempt 1\nB1"), ("u", "### Feedback on Attempt 1\nG1"), ("u", "### Attempt 2\nB2"),
         ("u", "### Attempt 3\nB3"),
     ]
-    whole = rows_of(sessions.prior_context(df), "session_id")
+    whole = rows_of(sessions.prior_context(df, attempts_per_part=100), "session_id")
     assert whole[1] == ("u", 0, "\n\n".join(b for s, b in got if s == "u"))
     parts = rows_of(sessions.prior_context(df, attempts_per_part=1), "session_id", "part")
     assert "\n\n".join(p[2] for p in parts if p[0] == "u") == whole[1][2]

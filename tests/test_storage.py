@@ -183,9 +183,10 @@ def test_repeated_batch_writes_the_same(spark, tmp_path):
 def test_progress(spark, tmp_path):
     source, path = tmp_path / "in", str(tmp_path / "out")
     put(source, "1.json", lines_of("a", "b"))
+    put(source, "2.json", lines_of("b", "a", "b"))
     rows = ledger.progress(ledger.stream_results(spark, str(source), RESULT), total=5)
     ledger.run_progress(rows, path, str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(path).first()
+    got = ledger.read_progress(spark, path).first()
     assert (got.done, got.total, got.resolved_any, got.avg_resolve_rate) == (2, 5, 2, 0.5)
 
 
@@ -203,13 +204,25 @@ def test_analyze_results(spark, tmp_path):
     source = put(tmp_path / "in", "r.jsonl", "\n".join(json.dumps(r) for r in records))
     paths = jobs.analyze_results(spark, source, str(tmp_path / "out"))
     tables = {name: spark.read.parquet(path) for name, path in paths.items()}
-    assert tables["overall"].first().total_runs == 2
+    overall = tables["overall"].first()
+    assert (overall.total_runs, overall.instances, overall.runs_per_instance, overall.any_rate) == (2, 2, 1, 0.5)
+    assert [r.instances for r in tables["per_repo"].orderBy("scope").collect()] == [2, 2]
     assert (tables["summary"].first().instances, tables["summary"].first().avg_resolve_rate) == (2, 0.25)
     assert tables["group_signal"].first().mixed == 1 and tables["group_signal"].first().always_fail == 1
-    assert {r.cohort for r in tables["distributions"].collect()} == {"non_error", "resolved", "mixed"}
+    sizes = {r.cohort: r.n for r in tables["distributions"].where("metric = 'steps'").collect()}
+    assert sizes == {"non_error": 1, "resolved": 1, "unresolved": 0, "mixed": 2}
     assert tables["outcomes"].count() == 2 and tables["per_repo"].count() == 2
 
 
+def test_an_id_stored_twice_is_one_instance(spark, tmp_path):
+    one = {"instance_id": "a", "runs": [run_record(True, 2, 10, "submit")], "resolve_rate": 1.0, "avg_steps": 2.0, "avg_tokens": 10.0}
+    records = [one | {"repo": "r"}, one | {"runs": [run_record(False, 2, 10, "submit")]}]
+    source = put(tmp_path / "in", "r.jsonl", "\n".join(json.dumps(r) for r in records))
+    paths = jobs.analyze_results(spark, source, str(tmp_path / "out"))
+    summary = spark.read.parquet(paths["summary"]).first()
+    assert (summary.instances, summary.total_runs) == (1, 2)
+
+
 def test_build_training_set(spark, tmp_path):
     rows = spark.createDataFrame([(str(i), f"fix {i}", i) for i in range(9)], "instance_id string, problem_statement string, seq int")
     jobs.build_training_set(rows, str(tmp_path / "a"), limit=4)
