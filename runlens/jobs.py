@@ -89,27 +89,46 @@ def replay_sessions(
     max_turns: int,
     aggregator: str = "mean",
     weights: Mapping[str, float] | None = None,
+    final: Sequence[str] = ("swe_test",),
 ) -> tuple[DataFrame, DataFrame]:
     """(turns, sessions) of multi-turn runs that stop at the first passing turn.
 
     `generations` is (session_id, turn, output), `verdicts` (session_id, turn,
     name, status, score, pass_threshold). `checks` names the intermediate
-    verifiers in their order; without any, no session stops early.
+    verifiers in their order; without any, no session stops early. Turns from
+    `max_turns` on were never made. `final` names the verifiers whose verdicts
+    on the last kept turn make the final score, 1.0 without any.
+
+    turns: session_id, turn, output, aggregate_score, feedback,
+    verifier_results (name, status, score, passed).
+    sessions: session_id, final_output, num_turns, stopped_early,
+    final_aggregate_score.
     """
-    keys = ("session_id", "turn")
-    judged = verdicts.where(F.col("name").isin(list(checks)))
-    scored = scoring.session_scores(generations, judged, aggregator, weights, keys)
-    passed = scoring.all_passed(scored, judged, keys)
-    kept = sessions.kept_turns(passed) if checks else passed
-    if checks:
-        told = scoring.turn_feedback(judged, checks, max_turns)
-        turns = kept.join(told, list(keys), "left")
-    else:
-        turns = kept.withColumn("feedback", F.lit(""))
-    return (
-        turns.select(*keys, "output", "aggregate_score", F.coalesce("feedback", F.lit("")).alias("feedback")),
-        sessions.session_replay(passed, has_verifiers=bool(checks)),
+    keys = ["session_id", "turn"]
+    made = generations.where(F.col("turn") < max_turns)
+    judged = scoring.judged_turns(verdicts.where(F.col("name").isin(list(checks))), checks, aggregator, weights)
+    scored = made.join(judged, keys, "left").withColumns(
+        {
+            "all_passed": F.coalesce("all_passed", F.lit(True)),
+            "aggregate_score": F.coalesce("aggregate_score", F.lit(1.0)),
+            "verifier_results": F.coalesce("verifier_results", F.array().cast(judged.schema["verifier_results"].dataType)),
+        }
     )
+    # Cut first: feedback is rendered for the turns that stay.
+    kept = sessions.kept_turns(scored) if checks else scored
+    feedback = F.coalesce(scoring.feedback_of(checks, max_turns), F.lit("")) if checks else F.lit("")
+    turns = kept.select(*keys, "output", "aggregate_score", feedback.alias("feedback"), "verifier_results")
+
+    ends = sessions.session_replay(scored.select(*keys, "output", "all_passed"), has_verifiers=bool(checks))
+    last = scoring.judged_turns(verdicts.where(F.col("name").isin(list(final))), final, aggregator, weights).select(
+        F.col("session_id").alias("_session"),
+        (F.col("turn") + 1).alias("_turns"),
+        F.col("aggregate_score").alias("_final"),
+    )
+    finished = ends.join(
+        last, (F.col("session_id") == F.col("_session")) & (F.col("num_turns") == F.col("_turns")), "left"
+    )
+    return turns, finished.select(*ends.columns, F.coalesce("_final", F.lit(1.0)).alias("final_aggregate_score"))
 
 
 def evaluate_samples(samples: DataFrame, problems: DataFrame, outcomes: DataFrame, output: str) -> dict[str, str]:

@@ -135,41 +135,60 @@ def group_norm_reward(
     )
 
 
-def turn_feedback(
-    verdicts: DataFrame, order: Sequence[str], max_turns: int, lines: str | None = None
+def judged_turns(
+    verdicts: DataFrame,
+    order: Sequence[str],
+    aggregator: str = "mean",
+    weights: Mapping[str, float] | None = None,
+    lines: str | None = None,
 ) -> DataFrame:
-    """`feedback` per turn, one line per verifier in set order.
+    """One row per (session_id, turn): aggregate_score, all_passed, verifier_results and what feedback needs.
 
-    Verdicts are (session_id, turn, name, status, score, pass_threshold). The
-    text is empty on the last allowed turn and when everything passed. Codes
-    and scores are aggregated and the text is built afterwards, so no text
-    sits in the aggregation buffers. Verifiers with a feedback of their own
-    put it into a column named by `lines`; it replaces the default line where
-    it is not null.
+    All of it comes from one partial aggregate over codes and numbers.
+    `verifier_results` has an entry per verifier of `order` that gave a verdict.
     """
     name, status = F.col("name"), F.col("status")
     score, threshold = F.col("score"), F.col("pass_threshold")
     statuses = F.array(*[F.lit(s) for s in VERIFIER_STATUSES])
-    code = F.array_position(statuses, status)
+    weight = weight_of(name, weights) if weights and aggregator == "weighted_sum" else F.lit(1.0)
 
     def of(check: str, value: Column) -> Column:
         return F.max(F.when(name == check, value))
 
     grouped = verdicts.groupBy("session_id", "turn").agg(
-        F.bool_and(verifier_passed(status, score, threshold)).alias("_all"),
+        F.coalesce(score_by_name(aggregator, status, score, weight), F.lit(1.0)).alias("aggregate_score"),
+        F.bool_and(verifier_passed(status, score, threshold)).alias("all_passed"),
         *[
             column
             for i, check in enumerate(order)
             for column in (
-                of(check, code).alias(f"_status{i}"),
+                of(check, F.array_position(statuses, status)).alias(f"_status{i}"),
                 of(check, score).alias(f"_score{i}"),
                 of(check, threshold).alias(f"_threshold{i}"),
             )
         ],
         *[of(check, F.col(lines)).alias(f"_line{i}") for i, check in enumerate(order) if lines],
     )
-    default = [
-        F.when(
+    results = []
+    for i, check in enumerate(order):
+        known = F.element_at(statuses, F.col(f"_status{i}").cast("int"))
+        entry = F.struct(
+            F.lit(check).alias("name"),
+            known.alias("status"),
+            F.col(f"_score{i}").alias("score"),
+            verifier_passed(known, F.col(f"_score{i}"), F.col(f"_threshold{i}")).alias("passed"),
+        )
+        results.append(F.when(F.col(f"_status{i}").isNotNull(), entry))
+    given = F.filter(F.array(*results), lambda r: r.isNotNull())
+    return grouped.withColumn("verifier_results", given)
+
+
+def feedback_of(order: Sequence[str], max_turns: int, lines: str | None = None) -> Column:
+    """Feedback text of a row of `judged_turns`; empty on the last allowed turn and when everything passed."""
+    statuses = F.array(*[F.lit(s) for s in VERIFIER_STATUSES])
+    shown = []
+    for i, check in enumerate(order):
+        line = F.when(
             F.col(f"_status{i}").isNotNull(),
             feedback_line(
                 F.lit(check),
@@ -178,16 +197,25 @@ def turn_feedback(
                 F.col(f"_threshold{i}"),
             ),
         )
-        for i, check in enumerate(order)
-    ]
-    silent = F.col("_all") | (F.col("turn") == max_turns - 1)
-    shown = [
-        F.coalesce(F.col(f"_line{i}"), line) if lines else line for i, line in enumerate(default)
-    ]
-    message = feedback_message(shown, F.col("_all"))
-    return grouped.select(
-        "session_id", "turn", F.when(silent, F.lit("")).otherwise(message).alias("feedback")
-    )
+        shown.append(F.coalesce(F.col(f"_line{i}"), line) if lines else line)
+    silent = F.col("all_passed") | (F.col("turn") == max_turns - 1)
+    return F.when(silent, F.lit("")).otherwise(feedback_message(shown, F.col("all_passed")))
+
+
+def turn_feedback(
+    verdicts: DataFrame, order: Sequence[str], max_turns: int, lines: str | None = None
+) -> DataFrame:
+    """`feedback` per turn, one line per verifier in set order.
+
+    Verdicts are (session_id, turn, name, status, score, pass_threshold). The
+    text is empty on the last allowed turn and when everything passed. Codes
+    and scores are aggregated and the text is built afterwards, so no text
+    sits in the aggregation buffers. Verifiers with a feedback of their own
+    put it into a column named by `lines`; it replaces the default line where
+    it is not null.
+    """
+    judged = judged_turns(verdicts, order, lines=lines)
+    return judged.select("session_id", "turn", feedback_of(order, max_turns, lines).alias("feedback"))
 
 
 def feedback_message(lines: Sequence[Column], all_pass: Column) -> Column:

@@ -5,11 +5,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.actions import format_observation, parse_tool_call, submission_sentinel
+from runlens.functions.text import py_strip
 from runlens.operators.running import running
 from runlens.schemas import EPISODE_REASONS
 
@@ -277,3 +279,86 @@ def episode_reason(steps: DataFrame, reason: str = "reason", position: str = "st
             F.coalesce(F.floor(first / 16), F.col("_last")).alias("end_step"),
         )
     )
+
+
+def episode_result(
+    steps: DataFrame,
+    tokens: Callable[[Column], Column],
+    max_len: int = 16384,
+    max_steps: int = 100,
+    timeout: float | None = None,
+    max_errors: int = 3,
+    initial_tokens: int = 0,
+    nudge_tokens: int = 0,
+    max_chars: int = 10000,
+) -> DataFrame:
+    """(session_id, steps, total_tokens, reason, seconds) of recorded episodes.
+
+    Steps are (session_id, step from 0, action, stdout, returncode, failed,
+    elapsed): `elapsed` counts the seconds at the step's begin, `failed` marks
+    a step whose model call broke. A step is made if the time and the tokens
+    before it allow; its command is the action's tool call. A blank command is
+    answered by a nudge of `nudge_tokens`, any other by its observation.
+    Episodes end at the first step with a reason; steps recorded behind it don't count.
+    """
+    call = parse_tool_call(F.col("action"))
+    parsed = steps.withColumn("_call", call).withColumns(
+        {
+            "_submits": F.col("_call.type") == "submit",
+            "_blank": (F.col("_call.type") != "submit") & (F.length(py_strip(F.col("_call.content"))) == 0),
+            "_said": tokens(F.col("action")).cast("bigint"),
+            "_seen": tokens(format_observation(F.col("stdout"), F.col("returncode"), max_chars)).cast("bigint"),
+        }
+    )
+    answer = F.when(F.col("_blank"), F.lit(nudge_tokens)).otherwise(F.coalesce("_seen", F.lit(0))).cast("bigint")
+    before = running(
+        parsed.withColumn("_answer", answer),
+        ["session_id"],
+        "step",
+        {
+            "_spent": ("sum", F.col("_said") + F.col("_answer")),
+            "_good": ("max", F.when(~F.col("_blank"), F.col("step"))),
+        },
+        inclusive=False,
+    )
+    used = F.col("_spent") + initial_tokens
+    streak = F.col("step") - F.coalesce(F.col("_good"), F.lit(-1))
+    reason = step_reason(
+        exception=F.coalesce("failed", F.lit(False)),
+        timed_out=F.lit(False) if timeout is None else F.col("elapsed") >= timeout,
+        budget_spent=used >= max_len,
+        submit_tag=F.col("_submits"),
+        format_error=F.col("_blank") & (streak > max_errors),
+        sentinel=~F.col("_blank") & submission_sentinel(F.col("stdout")).isNotNull(),
+        last_step=F.col("step") == max_steps - 1,
+    )
+    # A model call is only made, and can only break, while time and tokens last.
+    early = F.when(F.lit(False) if timeout is None else F.col("elapsed") >= timeout, F.lit("timeout")).when(
+        used >= max_len, F.lit("token_limit")
+    )
+    named = before.select(
+        "session_id", "step", "elapsed", "_said", "_answer", used.alias("_used"), F.coalesce(early, reason).alias("reason")
+    )
+    unmade = F.col("reason").isin("timeout", "token_limit", "error")
+    unanswered = F.col("reason").isin("submit", "format_error")
+    total = F.col("_used") + F.when(unmade, 0).otherwise(F.col("_said")) + F.when(unmade | unanswered, 0).otherwise(
+        F.col("_answer")
+    )
+    figures = F.struct(
+        "step",
+        F.when(unmade, F.col("step")).otherwise(F.col("step") + 1).alias("steps"),
+        total.alias("total_tokens"),
+        F.array_position(F.array(*[F.lit(r) for r in EPISODE_REASONS]), F.coalesce("reason", F.lit("max_steps"))).alias("code"),
+        F.col("elapsed").alias("seconds"),
+    )
+    ended = named.groupBy("session_id").agg(
+        F.min(F.when(F.col("reason").isNotNull(), figures)).alias("_end"), F.max(figures).alias("_last")
+    )
+    result = F.coalesce("_end", "_last")
+    return ended.select("session_id", result.alias("_r")).select(
+        "session_id",
+        F.col("_r.steps").cast("bigint").alias("steps"),
+        F.col("_r.total_tokens").alias("total_tokens"),
+        F.element_at(F.array(*[F.lit(r) for r in EPISODE_REASONS]), F.col("_r.code").cast("int")).alias("reason"),
+        F.col("_r.seconds").alias("seconds"),
+    )

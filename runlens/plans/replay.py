@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens import jobs
 from runlens.functions.text import word_count
 from runlens.operators import scoring, sessions
 from runlens.plans.registry import query
@@ -234,3 +235,93 @@ def episode_reason(spark: SparkSession, sf: str) -> DataFrame:
     )
     steps = fx.turns(spark, sf).select("session_id", F.col("turn").alias("step"), reason.alias("reason"))
     return sessions.episode_reason(steps)
+
+
+@query(
+    "episode_result",
+    r"""
+with t as (select session_id, turn as step, text, length(text) as n, turn * 10 + length(text) % 10 as elapsed from turns),
+a as (select *, n % 13 = 0 as submits, n % 13 <> 0 and n % 11 < 4 as blank, n % 31 = 0 as failed, n % 7 = 0 as done from t),
+b as (select *, case when submits then concat(text, ' <submit/>') when blank then concat('<bash> </bash> ', text)
+  else concat('<bash> ', text, ' </bash>') end as action,
+ concat('<returncode>', cast(n % 3 as varchar), '</returncode>', chr(10), '<output>', chr(10),
+  case when done then concat('ok', chr(10), 'COMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT', chr(10)) else '' end, text,
+  chr(10), '</output>') as seen from a),
+c as (select *, len(string_split_regex(trim(action, chr(9) || chr(10) || ' '), '\s+'))::bigint as said,
+ case when blank then 9 else len(string_split_regex(trim(seen, chr(9) || chr(10) || ' '), '\s+')) end::bigint as answer from b),
+d as (select *, coalesce(sum(said + answer) over w, 0)::bigint + 40 as used,
+ step - coalesce(max(case when not blank then step end) over w, -1) as streak from c
+ window w as (partition by session_id order by step rows between unbounded preceding and 1 preceding)),
+e as (select *, case when elapsed >= 55 then 'timeout' when used >= 400 then 'token_limit' when failed then 'error'
+ when submits then 'submit' when blank and streak > 1 then 'format_error' when not blank and done then 'submit'
+ when step = 3 then 'max_steps' end as reason from d),
+f as (select *, row_number() over (partition by session_id order by case when reason is null then 1 else 0 end,
+ case when reason is null then -step else step end) as place from e)
+select session_id, case when reason in ('timeout', 'token_limit', 'error') then step else step + 1 end as steps,
+ used + case when reason in ('timeout', 'token_limit', 'error') then 0 else said end
+  + case when reason in ('timeout', 'token_limit', 'error', 'submit', 'format_error') then 0 else answer end as total_tokens,
+ coalesce(reason, 'max_steps') as reason, elapsed as seconds from f where place = 1
+""",
+)
+def episode_result(spark: SparkSession, sf: str) -> DataFrame:
+    """Each message is an action or its output, whole, with tags that its length chooses."""
+    n, text = F.length("text"), F.col("text")
+    submits, blank = n % 13 == 0, n % 11 < 4
+    action = (
+        F.when(submits, F.concat(text, F.lit(" <submit/>")))
+        .when(blank, F.concat(F.lit("<bash> </bash> "), text))
+        .otherwise(F.concat(F.lit("<bash> "), text, F.lit(" </bash>")))
+    )
+    done = F.when(n % 7 == 0, "ok\nCOMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT\n").otherwise("")
+    steps = fx.turns(spark, sf).select(
+        "session_id",
+        F.col("turn").alias("step"),
+        action.alias("action"),
+        F.concat(done, text).alias("stdout"),
+        (n % 3).alias("returncode"),
+        (n % 31 == 0).alias("failed"),
+        (F.col("turn") * 10 + n % 10).alias("elapsed"),
+    )
+    return sessions.episode_result(
+        steps, word_count, max_len=400, max_steps=4, timeout=55, max_errors=1, initial_tokens=40, nudge_tokens=9
+    )
+
+
+@query(
+    "multi_turn_record",
+    """
+with g as (select session_id, turn, output, length(output) as n, all_passed from generations where turn < 3),
+v as (select *, case when n % 11 = 0 then 'timeout' else 'ok' end as st1,
+  case when all_passed then 1.0::double else (n % 8) / 8.0::double end as s1,
+  case when n % 3 = 0 then 1.0::double else round((n % 100) / 100.0::double, 2) end as s2 from g),
+w as materialized (select *, st1 = 'ok' and s1 >= 1 as p1, s2 >= 1 as p2, case when st1 = 'ok' then s1 else 0.0 end as e1 from v),
+s as (select session_id, min(turn) filter (p1 and p2) as stop, max(turn) as last_turn from w group by 1)
+select w.session_id, w.turn, w.output, round((e1 + s2) / 2, 6) as aggregate_score,
+ concat('ast_check:', st1, ':', printf('%.4f', s1), ':', p1, ',swe_test:ok:', printf('%.4f', s2), ':', p2) as results,
+ case when (p1 and p2) or turn = 2 then 0 else 1 end as has_feedback,
+ coalesce(stop, last_turn) + 1 as num_turns, stop is not null as stopped_early,
+ round(max(case when turn = coalesce(stop, last_turn) then s2 end) over (partition by w.session_id), 6) as final_aggregate_score
+from w join s on s.session_id = w.session_id and w.turn <= coalesce(stop, last_turn)
+""",
+)
+def multi_turn_record(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns of each session beside its final figures."""
+    generations = fx.generations(spark, sf)
+    turns, ends = jobs.replay_sessions(
+        generations.select("session_id", "turn", "output"), _turn_verdicts(generations), CHECKS, max_turns=3
+    )
+    result = F.transform(
+        "verifier_results",
+        lambda r: F.concat_ws(":", r["name"], r["status"], F.format_string("%.4f", r["score"]), r["passed"].cast("string")),
+    )
+    return turns.join(ends, "session_id").select(
+        "session_id",
+        "turn",
+        "output",
+        (F.round("aggregate_score", 6) + 0.0).alias("aggregate_score"),
+        F.array_join(result, ",").alias("results"),
+        (F.length("feedback") > 0).cast("int").alias("has_feedback"),
+        "num_turns",
+        "stopped_early",
+        (F.round("final_aggregate_score", 6) + 0.0).alias("final_aggregate_score"),
+    )
