@@ -110,7 +110,7 @@ def split_object_path(uri: Column) -> Column:
     key = F.when(hosted, F.coalesce(F.get(pieces, F.lit(1)), F.lit(""))).otherwise(path)
     return F.struct(
         F.when(scheme == "s3", bucket)
-        .otherwise(F.raise_error(F.concat(F.lit("Expected s3:// URI, got: "), uri)))
+        .otherwise(F.raise_error(F.concat(F.lit("only s3 paths can be split into bucket and key, this is: "), uri)))
         .cast("string")
         .alias("bucket"),
         F.ltrim(key, F.lit("/")).alias("key"),

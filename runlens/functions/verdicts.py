@@ -7,13 +7,19 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Texts that appear in stored results and prompts.
+JOB_TIMED_OUT = "K8s Job timed out"
+NO_TEST_OUTPUT = "No test output captured from pod logs"
+NOT_APPLIED = "\n  The patch could not be applied to the repository."
+ISSUE_RESOLVED = "PASSED: issue resolved"
+
 
 def verifier_passed(status: Column, score: Column, threshold: Column) -> Column:
     """True for an ok verdict that reaches its threshold; a bad threshold fails."""
     reached = (status == "ok") & (score >= threshold)
     return F.when(
         (threshold < 0) | (threshold > 1),
-        F.raise_error(F.concat(F.lit("pass_threshold must be in [0.0, 1.0], got "), threshold)),
+        F.raise_error(F.concat(F.lit("a threshold lies between 0 and 1, not at "), threshold)),
     ).otherwise(reached).cast("boolean")
 
 
@@ -46,13 +52,13 @@ def score_by_name(
         return score_min(status, score)
     if name == "weighted_sum":
         return score_weighted(status, score, F.lit(1.0) if weight is None else weight)
-    raise ValueError(f"Unknown aggregator '{name}'. Choose from: mean, min, weighted_sum")
+    raise ValueError(f"no aggregate named {name!r}: there are mean, min and weighted_sum")
 
 
 def checked_weight(weight: Column, name: Column) -> Column:
     """Weight 1.0 by default; a negative one fails the job."""
     complaint = F.concat(
-        F.lit("Weight for '"), name, F.lit("' must be non-negative, got "), weight
+        F.lit("verifier "), name, F.lit(" has a weight below 0: "), weight
     )
     return (
         F.when(weight < 0, F.raise_error(complaint))
@@ -98,9 +104,9 @@ def verdict_or_default(
         .when(given(job_error), verdict("error", job_error))
         .when(
             ~given(output) & F.coalesce(job_timed_out, F.lit(False)),
-            verdict("error", F.lit("K8s Job timed out")),
+            verdict("error", F.lit(JOB_TIMED_OUT)),
         )
-        .when(~given(output), verdict("error", F.lit("No test output captured from pod logs")))
+        .when(~given(output), verdict("error", F.lit(NO_TEST_OUTPUT)))
         .when(grading_error.isNotNull(), verdict("error", grading_error))
         .otherwise(
             verdict("ok", F.lit(None), F.when(resolved, F.lit(1.0)).otherwise(F.lit(0.0)))
@@ -196,11 +202,11 @@ def unit_test_feedback(
             ),
         )
         .when(
-            verifier_passed(status, score, threshold), F.lit(f"{head}PASSED: issue resolved")
+            verifier_passed(status, score, threshold), F.lit(f"{head}{ISSUE_RESOLVED}")
         )
         .when(
             ~F.coalesce(applied, F.lit(False)),
-            F.concat(failed, F.lit("\n  The patch could not be applied to the repository.")),
+            F.concat(failed, F.lit(NOT_APPLIED)),
         )
         .otherwise(F.array_join(parts, "\n"))
     )

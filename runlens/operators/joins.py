@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the error of a result without a prompt.
 NO_PROMPT = "No prompt found for instance"
 
 

@@ -61,7 +61,11 @@ def running(
         F.lag(F.lit(True)).over(Window.partitionBy(*keys).orderBy(_CHUNK_COL)).alias("_follows"),
     ).where("_follows").drop("_follows")
 
-    joined = inner.join(carried, groups, "left")
+    # Null keys form a group like any other.
+    renamed = carried.withColumnsRenamed({g: f"_of_{g}" for g in groups})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    same.append(F.col(_CHUNK_COL) == F.col(f"_of_{_CHUNK_COL}"))
+    joined = inner.join(renamed, same, "left")
     return joined.select(
         *df.columns,
         *[

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.verdicts import failing_block
-from runlens.operators.running import running
+from runlens.session import materialize
 
 
 def seeded_sample(instances: DataFrame, count: int, seed: int = 42, key: str = "instance_id") -> DataFrame:
     """The first `count` rows in the order of a seeded hash of the id.
 
     The order depends on seed and id only, not on partitions; it is a
-    permutation of its own, not that of another library's shuffle.
+    permutation of its own, not that of another library's shuffle. Ids are
+    unique. The cut is found on hashes and ids alone; rows are then filtered by
+    it where they are, and only the chosen ones are sorted.
     """
-    return instances.orderBy(shuffle_key(seed, key), key).limit(count)
+    place = F.concat(shuffle_key(seed, key), F.lit("-"), F.col(key).cast("string"))
+    return _up_to(instances, place, count)
+
+
+def _up_to(rows: DataFrame, place: Column, count: int) -> DataFrame:
+    """The `count` rows with the smallest unique `place`, in its order."""
+    places = rows.select(place.alias("_place"))
+    cut = places.orderBy("_place").limit(count).agg(F.max("_place")).scalar()
+    return rows.where(place <= cut).orderBy(place)
 
 
 def shuffle_key(seed: int, key: str):
@@ -23,8 +33,8 @@ def shuffle_key(seed: int, key: str):
 
 
 def instance_limit(instances: DataFrame, count: int, order: str = "seq") -> DataFrame:
-    """The first `count` rows by `order`; 0 keeps all."""
-    return instances.orderBy(order).limit(count) if count > 0 else instances
+    """The first `count` rows by the unique `order`; 0 keeps all."""
+    return _up_to(instances, F.col(order), count) if count > 0 else instances
 
 
 def repo_locality_sort(instances: DataFrame) -> DataFrame:
@@ -61,9 +71,20 @@ def top_failures(tests: DataFrame, limit: int = 20) -> DataFrame:
 def round_robin_shards(rows: DataFrame, workers: int, order: str = "seq") -> DataFrame:
     """`shard` = place in `order` modulo min(workers, rows).
 
-    `order` is a unique non-negative integer; places come from chunked counts,
-    not from one global window.
+    `order` is unique, but may have gaps of any size: its values are dealt by range
+    into parts of about the same size and numbered inside them, and only the
+    parts' counts are summed up in one task. No other column takes part in it.
     """
-    placed = running(rows, [], order, {"_place": ("count", F.lit(1))}, chunk=100_000)
+    dealt = rows.select(F.col(order).alias("_order")).repartitionByRange("_order")
+    parts = materialize(dealt.withColumn("_part", F.spark_partition_id()), "order")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_order")) - 1
+    places = parts.withColumn("_inside", inside).join(starts, "_part").select(
+        "_order", (F.col("_start") + F.col("_inside")).alias("_place")
+    )
     used = rows.agg(F.greatest(F.least(F.count(F.lit(1)), F.lit(workers)), F.lit(1))).scalar()
-    return placed.select(*rows.columns, F.pmod(F.col("_place") - 1, used).alias("shard"))
+    placed = rows.join(places, F.col(order) == F.col("_order"))
+    return placed.select(*rows.columns, F.pmod("_place", used).alias("shard"))

@@ -23,6 +23,11 @@ from runlens.functions.verdicts import (
 from runlens.operators.skew import join_summary
 from runlens.schemas import VERIFIER_STATUSES
 
+# Texts of the feedback message.
+FEEDBACK_HEAD = "Your solution was evaluated. Here is the feedback:\n"
+ALL_PASSED = "\nAll checks passed."
+PLEASE_REVISE = "\nPlease revise your solution to address the issues above."
+
 
 def session_scores(
     sessions: DataFrame,
@@ -221,12 +226,12 @@ def turn_feedback(
 def feedback_message(lines: Sequence[Column], all_pass: Column) -> Column:
     """Feedback text from one line per verifier; null lines are skipped."""
     given = F.filter(F.array(*lines), lambda line: line.isNotNull())
-    footer = F.when(all_pass, F.lit("\nAll checks passed.")).otherwise(
-        F.lit("\nPlease revise your solution to address the issues above.")
+    footer = F.when(all_pass, F.lit(ALL_PASSED)).otherwise(
+        F.lit(PLEASE_REVISE)
     )
     return F.array_join(
         F.concat(
-            F.array(F.lit("Your solution was evaluated. Here is the feedback:\n")),
+            F.array(F.lit(FEEDBACK_HEAD)),
             given,
             F.array(footer),
         ),

@@ -15,6 +15,9 @@ from runlens.functions.text import py_strip
 from runlens.operators.running import running
 from runlens.schemas import EPISODE_REASONS
 
+# The parts of a failed rollout's message.
+ROLLOUT_FAILED = "Rollout failed after ", " attempts"
+
 
 def session_replay(turns: DataFrame, has_verifiers: bool = True) -> DataFrame:
     """What a session that stops at its first passing turn keeps.
@@ -220,9 +223,9 @@ def retry_latest(
             F.when(
                 F.col("_ok_at").isNull(),
                 F.concat(
-                    F.lit("Rollout failed after "),
+                    F.lit(ROLLOUT_FAILED[0]),
                     F.col("_tried").cast("string"),
-                    F.lit(" attempts"),
+                    F.lit(ROLLOUT_FAILED[1]),
                 ),
             ).alias("error"),
             F.when(F.col("_ok_at").isNull(), F.col("_last_error")).alias("cause"),

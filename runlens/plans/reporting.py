@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.functions.verdicts import unit_test_feedback as unit_test_feedback_column
 from runlens.operators import reports, signals
 from runlens.operators.quantiles import distribution_stats
 from runlens.operators.sampling import top_failures
@@ -362,3 +363,39 @@ from f group by instance_id, failing
 def failures(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.tests(spark, sf).withColumn("seq", F.col("test"))
     return top_failures(rows, limit=3)
+
+
+@query(
+    "unit_test_feedback",
+    """
+with t as (select instance_id, test, status, line, cast(instance_id as bigint) as n from tests),
+g as (select instance_id, n, count(*) filter (status in ('FAILED', 'ERROR')) as bad,
+  string_agg(concat('    - ', test), chr(10) order by line, test) filter (status in ('FAILED', 'ERROR')) as names,
+  string_agg(concat(test, ' ', status), chr(10) order by line, test) as stdout from t group by instance_id, n)
+select instance_id, case when n % 5 = 0 then '[swe_test] ERROR: ' || case when n % 2 = 0 then 'pod lost' else 'unknown error' end
+ when bad = 0 then '[swe_test] PASSED: issue resolved'
+ when n % 4 = 0 then '[swe_test] FAILED (score: 0.00)' || chr(10) || '  The patch could not be applied to the repository.'
+ else concat('[swe_test] FAILED (score: 0.00)', chr(10), '  Failing tests (', bad, '):', chr(10), names, chr(10), chr(10),
+  '  Test output:', chr(10), '  ', replace(stdout, chr(10), chr(10) || '  ')) end as feedback
+from g
+""",
+)
+def unit_test_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of an order are the tests of an instance."""
+    n = F.col("instance_id").cast("bigint")
+    entries = F.sort_array(F.collect_list(F.struct("line", "test", "status")))
+    grouped = fx.tests(spark, sf).groupBy("instance_id").agg(
+        F.transform(entries, lambda e: F.struct(e["test"], e["status"])).alias("entries"),
+        F.count_if(F.col("status").isin("FAILED", "ERROR")).alias("bad"),
+    )
+    stdout = F.array_join(F.transform("entries", lambda e: F.concat_ws(" ", e["test"], e["status"])), "\n")
+    feedback = unit_test_feedback_column(
+        F.when(n % 5 == 0, "error").otherwise("ok"),
+        F.when(F.col("bad") == 0, 1.0).otherwise(0.0),
+        F.lit(1.0),
+        n % 4 != 0,
+        F.map_from_entries("entries"),
+        stdout,
+        F.when(n % 2 == 0, "pod lost"),
+    )
+    return grouped.select("instance_id", feedback.alias("feedback"))

@@ -89,29 +89,28 @@ def scan_json_array(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "scan_prediction_tree",
     """
-select cast(item_id as varchar) as instance_id, text as model_patch, 'm1' as model_name_or_path
-from benchmark where item_id % 5 > 1
+select cast(doc_id as varchar) as instance_id, concat('patch ', quality, toxic) as model_patch, 'm1' as model_name_or_path
+from labels where doc_id % 5 > 1
 """,
 )
 def scan_prediction_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """One file per prediction; some are cut off, some do not name their instance."""
+    """One <id>/prediction.json per prediction; some are cut off, some do not name their instance."""
     path = work_path(spark, "tree")
-    named = fx.table(spark, sf, "benchmark").select(
-        "item_id",
-        F.col("item_id").cast("string").alias("instance_id"),
-        F.col("text").alias("model_patch"),
+    named = fx.table(spark, sf, "labels").select(
+        "doc_id",
+        F.col("doc_id").cast("string").alias("instance_id"),
+        F.concat(F.lit("patch "), "quality", "toxic").alias("model_patch"),
         F.lit("m1").alias("model_name_or_path"),
     )
     whole = F.to_json(F.struct("instance_id", "model_patch", "model_name_or_path"))
-    which = F.col("item_id") % 5
+    which = F.col("doc_id") % 5
     text = (
         F.when(which == 0, F.left(whole, F.lit(25)))
         .when(which == 1, F.to_json(F.struct("model_patch")))
         .otherwise(whole)
     )
-    lines = named.select(text.alias("value"))
-    lines.write.option("maxRecordsPerFile", 1).text(path)
-    return readers.read_prediction_tree(spark, path, file_name="part-*")
+    writers.write_prediction_tree(named.select("instance_id", text.alias("value")), path)
+    return readers.read_prediction_tree(spark, path)
 
 
 @query(

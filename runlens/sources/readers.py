@@ -113,7 +113,7 @@ def object_path(uri: str) -> str:
     """Path of an s3 URI for Spark's readers and writers; other schemes are refused."""
     scheme, _, rest = uri.partition("://")
     if scheme.lower() != "s3":
-        raise ValueError(f"Expected s3:// URI, got: {uri}")
+        raise ValueError(f"only s3 paths can be read here, this is: {uri}")
     return f"s3a://{rest}"
 
 

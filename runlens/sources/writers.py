@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -66,3 +67,21 @@ def write_report_json(report: DataFrame, path: str) -> None:
 def write_id_list(ids: DataFrame, order: list, path: str, column: str = "instance_id") -> None:
     """One id per line in the given order; part files keep that order by name."""
     ids.orderBy(*order).select(F.col(column).cast("string")).write.text(path)
+
+
+def write_prediction_tree(predictions: DataFrame, root: str, file_name: str = "prediction.json") -> None:
+    """One <root>/<instance_id>/<file_name> per row of (instance_id, value).
+
+    The layout that other tools expect, for exports: a file per row, written by
+    the task that holds the row. A row that is written again replaces its file.
+    """
+
+    def write(rows: Iterator[Row]) -> None:
+        system, top = fs.FileSystem.from_uri(root)
+        for row in rows:
+            folder = f"{top}/{row['instance_id']}"
+            system.create_dir(folder)
+            with system.open_output_stream(f"{folder}/{file_name}") as out:
+                out.write(row["value"].encode())
+
+    predictions.select("instance_id", "value").foreachPartition(write)

@@ -234,7 +234,7 @@ def test_object_paths(one, spark):
     rows = [("s3://b/k/x.json",), ("S3://b//k?q=1#f",), ("s3://b",), ("s3:/x/y",)]
     got = [tuple(r) for r in one(prompts.split_object_path, rows, "t string")]
     assert got == [("b", "k/x.json"), ("b", "k"), ("b", ""), ("", "x/y")]
-    with pytest.raises(PySparkException, match="Expected s3"):
+    with pytest.raises(PySparkException, match="only s3"):
         one(prompts.split_object_path, [("http://b/k",)], "t string")
 
 

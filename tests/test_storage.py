@@ -273,7 +273,7 @@ def test_replay_sessions(spark):
 
 def test_object_path():
     assert readers.object_path("s3://b/k/x") == "s3a://b/k/x"
-    with pytest.raises(ValueError, match="Expected s3"):
+    with pytest.raises(ValueError, match="only s3"):
         readers.object_path("/local/x")
 
 
