@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runlens import schemas
 from runlens.functions.prompts import CHAT_TEMPLATE, build_chat_prompt
 from runlens.operators import joins, reports, sampling, scoring, sessions, signals
-from runlens.session import materialize
+from runlens.session import materialize, scratch
 from runlens.sources import readers, writers
 
 
@@ -44,20 +44,21 @@ def analyze_results(spark: SparkSession, results: str, output: str) -> dict[str,
     The runs are stored in long form once, since every table needs them.
     """
     stored = readers.read_jsonl_strict(spark, results, schemas.INSTANCE_RESULT)
-    runs = materialize(signals.explode_runs(stored), "runs")
-    # One row per id, also where an id is stored again or once without its repo.
-    instances = materialize(stored.groupBy("instance_id").agg(F.min("repo").alias("repo")), "instances")
-    rollup = materialize(signals.instance_rollup(runs, instances), "rollup")
-    tables = {
-        "overall": reports.overall_stats(runs, instances),
-        "summary": signals.eval_summary(rollup),
-        "outcomes": reports.outcome_histogram(runs),
-        "per_repo": reports.per_repo_table(runs, instances),
-        "distributions": reports.cohort_stats(runs, rollup),
-        "group_signal": signals.group_signal(rollup),
-        "mixed_outcomes": signals.mixed_histogram(rollup),
-    }
-    return _store(tables, output)
+    with scratch(spark):
+        runs = materialize(signals.explode_runs(stored), "runs")
+        # One row per id, also where an id is stored again or once without its repo.
+        instances = materialize(stored.groupBy("instance_id").agg(F.min("repo").alias("repo")), "instances")
+        rollup = materialize(signals.instance_rollup(runs, instances), "rollup")
+        tables = {
+            "overall": reports.overall_stats(runs, instances),
+            "summary": signals.eval_summary(rollup),
+            "outcomes": reports.outcome_histogram(runs),
+            "per_repo": reports.per_repo_table(runs, instances),
+            "distributions": reports.cohort_stats(runs, rollup),
+            "group_signal": signals.group_signal(rollup),
+            "mixed_outcomes": signals.mixed_histogram(rollup),
+        }
+        return _store(tables, output)
 
 
 def grade_predictions(
@@ -144,11 +145,12 @@ def evaluate_samples(samples: DataFrame, problems: DataFrame, outcomes: DataFram
         "result",
         classify_exec_result(F.coalesce("timed_out", F.lit(True)), F.col("failure")),
     )
-    results = materialize(
-        judged.select("task_id", "sample_id", "result", (F.col("result") == "passed").alias("passed")),
-        "outcomes",
-    )
-    return _store({"summary": reports.functional_report(results), "instances": results}, output)
+    with scratch(samples.sparkSession):
+        results = materialize(
+            judged.select("task_id", "sample_id", "result", (F.col("result") == "passed").alias("passed")),
+            "outcomes",
+        )
+        return _store({"summary": reports.functional_report(results), "instances": results}, output)
 
 
 def _store(tables: dict[str, DataFrame], output: str) -> dict[str, str]:

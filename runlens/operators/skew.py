@@ -9,7 +9,7 @@ from runlens.session import materialize
 
 HEAVY_SHARE = 1000
 #: Rows of a heavy key that share a slot of the shuffle, about.
-SLOT_ROWS = 100_000
+SLOT_ROWS = 1000
 
 
 def join_summary(

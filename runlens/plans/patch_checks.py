@@ -168,7 +168,20 @@ def feedback(spark: SparkSession, sf: str) -> DataFrame:
     return syntax_feedback(verdicts).select("doc_id", "feedback")
 
 
-@query("syntax_free_text")
+@query(
+    "syntax_free_text",
+    """
+select doc_id, 'ast_check' as name, true as consistent, (1 + (doc_id % 2 = 0)::int)::bigint as files_total,
+ (1 + (doc_id % 2 = 0)::int)::bigint as files_checkable, 0::bigint as files_skipped from documents
+""",
+)
 def free_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts on patches of prose, where only the parser can tell the outcome."""
-    return syntax_verdicts(syntax_checked(fx.patches(spark, sf)), "doc_id").drop("errors")
+    """Patches of prose: the parser reads every text; its verdict must agree with its own counts."""
+    verdicts = syntax_verdicts(syntax_checked(fx.patches(spark, sf)), "doc_id")
+    share = (F.col("files_checkable") - F.col("files_errored")) / F.col("files_checkable")
+    consistent = F.when(F.col("status") == "error", F.col("score") == 0).otherwise(
+        (F.col("status") == "ok") & (F.col("score") == share) & (F.col("files_errored") <= F.col("files_checkable"))
+    )
+    return verdicts.select(
+        "doc_id", "name", consistent.alias("consistent"), "files_total", "files_checkable", "files_skipped"
+    )

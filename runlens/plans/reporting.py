@@ -368,7 +368,8 @@ def failures(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "unit_test_feedback",
     """
-with t as (select instance_id, test, status, line, cast(instance_id as bigint) as n from tests),
+with t as (select instance_id, test, max(status) as status, min(line) as line, cast(instance_id as bigint) as n from tests
+  group by instance_id, test),
 g as (select instance_id, n, count(*) filter (status in ('FAILED', 'ERROR')) as bad,
   string_agg(concat('    - ', test), chr(10) order by line, test) filter (status in ('FAILED', 'ERROR')) as names,
   string_agg(concat(test, ' ', status), chr(10) order by line, test) as stdout from t group by instance_id, n)
@@ -384,7 +385,10 @@ def unit_test_feedback(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of an order are the tests of an instance."""
     n = F.col("instance_id").cast("bigint")
     entries = F.sort_array(F.collect_list(F.struct("line", "test", "status")))
-    grouped = fx.tests(spark, sf).groupBy("instance_id").agg(
+    tests = fx.tests(spark, sf).groupBy("instance_id", "test").agg(
+        F.max("status").alias("status"), F.min("line").alias("line")
+    )
+    grouped = tests.groupBy("instance_id").agg(
         F.transform(entries, lambda e: F.struct(e["test"], e["status"])).alias("entries"),
         F.count_if(F.col("status").isin("FAILED", "ERROR")).alias("bad"),
     )

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _LOCAL_ROOTS: dict[str, str] = {}
+_STORED: list[str] = []
 
 # AQE sizes the shuffles at run time, splits skewed join partitions and turns
 # a shuffled join into a broadcast one only after the small side was measured.
@@ -91,5 +94,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     is cut, and a lost executor costs a read instead of the work before it.
     """
     path = work_path(df.sparkSession, name)
+    _STORED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that `materialize` stored inside, once the job has written its results."""
+    start = len(_STORED)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _STORED[start:]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        del _STORED[start:]

@@ -265,10 +265,15 @@ def test_replay_sessions(spark):
     assert rows[("s", 0)].aggregate_score == 0.5 and "FAILED (score: 0.50)" in rows[("s", 0)].feedback
     assert rows[("s", 1)].feedback == "" and "[a] ERROR" in rows[("t", 0)].feedback
     got = sorted(tuple(r) for r in ends.collect())
-    assert got == [("s", "o1", 2, True), ("t", "p0", 1, False)]
+    assert got == [("s", "o1", 2, True, 1.0), ("t", "p0", 1, False, 1.0)]
+    assert [tuple(v) for v in rows[("s", 0)].verifier_results] == [("a", "ok", 0.5, False)]
+    assert [tuple(v) for v in rows[("t", 0)].verifier_results] == [("a", "error", 1.0, False)]
+    cut, ends = jobs.replay_sessions(generations, verdicts, ["a"], max_turns=1, final=["a"])
+    assert {(r.session_id, r.feedback) for r in cut.collect()} == {("s", ""), ("t", "")}
+    assert sorted(tuple(r) for r in ends.collect()) == [("s", "o0", 1, False, 0.5), ("t", "p0", 1, False, 0.0)]
     turns, ends = jobs.replay_sessions(generations, verdicts, [], max_turns=3)
     assert turns.count() == 4 and {r.aggregate_score for r in turns.collect()} == {1.0}
-    assert sorted(tuple(r) for r in ends.collect())[0] == ("s", "o2", 3, False)
+    assert sorted(tuple(r) for r in ends.collect())[0] == ("s", "o2", 3, False, 1.0)
 
 
 def test_object_path():
