@@ -54,14 +54,19 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Alternates the two star operations: every node hands its neighbours to its
     smallest one, first all larger neighbours, then all smaller ones. Stars
-    are reached in about log(longest path) rounds. Only edges are moved, never
+    are reached in about log(longest path) rounds and stay as they are. Only edges are moved, never
     a neighbour list, so a node may have any number of edges.
     """
     current = materialize(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name
     )
-    seen = None
-    while True:
+
+    def state() -> tuple:
+        row = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        return tuple(row)
+
+    seen = state()
+    while seen[0]:
         both = current.union(current.select("b", "a"))
         smallest = both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("_a"), F.least("a", "m").alias("m")
@@ -84,12 +89,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             .distinct()
         )
         current = materialize(small, name)
-        state = tuple(
-            current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        )
-        if state == seen:
+        now = state()
+        if now == seen:
             break
-        seen = state
+        seen = now
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         current.select("b", "b").distinct()
     )

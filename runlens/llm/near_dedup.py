@@ -49,7 +49,7 @@ POSTED = 32
 MISS = 1e-7
 #: Signatures and shingles per block of a comparison; a task holds two blocks.
 BLOCK_SIGNATURES = 512
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 #: Shingles that are signed together.
 SIGNED = 500_000
 SEED = 20
@@ -326,7 +326,9 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words
         .select("a", "b"),
         "star",
     )
-    listed = with_part(posted, components(star, "star-parts")).join(signed, "node").withColumn("weight", F.lit(1))
+    # Classes with the same smallest centre are connected; that is all that is asked of a part.
+    hubs = star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    listed = with_part(posted, hubs).join(signed, "node").withColumn("weight", F.lit(1))
     across = cross_blocks(listed, "token", BLOCK_SIGNATURES).mapInArrow(
         each_pair_of_blocks("token", colliding(least)), "a long, b long"
     )
