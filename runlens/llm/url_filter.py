@@ -21,6 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.operators.skew import join_summary
 from runlens.session import materialize
 
 #: The mass that the seeds share, the share that flows on in percent, and the rounds.
@@ -122,12 +123,10 @@ def judge(
         F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0)).alias("distrust"),
     )
-    distrusted = scores.where("distrust > trust").select(F.col("host").alias("bad_host"))
-    # The hosts of many pages are few, but a blocked host may hold a third of all pages: the join is split by page.
-    spread = 16
-    salted = distrusted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    joined = rows.withColumn("row_salt", F.pmod(F.xxhash64("id", "path"), F.lit(spread))).join(
-        salted, (F.col("host") == F.col("bad_host")) & (F.col("row_salt") == F.col("salt")), "left"
+    bad = scores.where("distrust > trust").select(F.col("host").alias("bad_host"))
+    judged = hosts.join(bad, F.col("host") == F.col("bad_host"), "left").select(
+        "host", "n", F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow").alias("by_links")
     )
-    verdict = F.coalesce("ruled", F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow"))
-    return joined.select("id", "host", "path", "rule", verdict.alias("verdict"))
+    # A host may hold a third of all pages: the join spreads such hosts by their count.
+    verdict = F.coalesce("ruled", "by_links").alias("verdict")
+    return join_summary(rows, judged, "host", "n").select("id", "host", "path", "rule", verdict)
