@@ -88,14 +88,16 @@ def run_ledger(
     schema: T.StructType,
     key: str = "instance_id",
     once: bool = True,
-    keep_ids: bool = False,
+    keep_ids: bool | None = None,
 ) -> StreamingQuery:
     """Start the ledger query; `once` stops it when the present input is read.
 
-    Every batch is checked against the ids of the ledger. For a long stream
-    `keep_ids` remembers this stream's ids in the state store instead; only
-    the ids other streams had written before it started are then joined.
+    A query that stops checks every batch against the ids of the ledger. One that goes on
+    remembers its own ids in the state store (`keep_ids`), so that a batch
+    costs the same however long the ledger is; only the ids other streams had
+    written before it started are then joined.
     """
+    keep_ids = not once if keep_ids is None else keep_ids
     earlier: list[DataFrame] = []
     if keep_ids:
         results = results.where(F.col(key).isNotNull()).dropDuplicates([key])
