@@ -296,7 +296,8 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, words: int, wante
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)]
             keys = [xxhash.xxh3_128_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["_key", "shingles"])
+            arrays = [pa.array(keys, pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_key", "shingles"])
 
     made = found.mapInArrow(run, "_key binary, shingles binary")
     return materialize(wanted.join(made, F.col("key") == F.col("_key")).drop("_key"), "shingles")
@@ -359,7 +360,12 @@ def near_duplicates(
     classes = materialize(
         signed.where("n > 0")
         .groupBy("key")
-        .agg(first_id("id").alias("head"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+        .agg(
+            first_id("id").alias("head"),
+            F.count(F.lit(1)).alias("size"),
+            F.first("n").alias("n"),
+            F.first("signature").alias("signature"),
+        )
         .select(F.col("head.row").alias("node"), F.col("head.id").alias("id"), "head", "key", "size", "n", "signature"),
         "classes",
     )
@@ -367,7 +373,9 @@ def near_duplicates(
     placed = with_part(classes.select("node", "head", "key", "size"), found)
     # Only classes that are linked need their component's head.
     heads = placed.where("part <> node").select("part", "head").union(
-        found.where("node = component").join(classes.select("node", "head"), "node").select(F.col("component").alias("part"), "head")
+        found.where("node = component").join(classes.select("node", "head"), "node").select(
+            F.col("component").alias("part"), "head"
+        )
     ).groupBy("part").agg(F.min("head").alias("first"))
     named = placed.join(heads, "part", "left").select("key", "size", F.coalesce("first", "head").alias("first"))
     rows = signed.select("id", "text_hash", "n", "key", "_row")

@@ -168,7 +168,10 @@ def pack(
     ranks_path: str | None = None,
     keep_ids: bool = False,
 ) -> DataFrame:
-    """One row per piece: id, start, length, crc, tokens, sequence, offset, and its `ids` (unsigned 32-bit, little-endian) if wanted."""
+    """One row per piece: id, start, length, crc, tokens, sequence, offset.
+
+    With `keep_ids` also the piece's `ids` as unsigned 32-bit numbers, little-endian.
+    """
     encoded = encode(docs, id_col, text_col, capacity, ranks_path, keep_ids)
     # At most `capacity` rows: the counts that the fills are made from.
     counts = encoded.groupBy("rest").agg(

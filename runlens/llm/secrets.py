@@ -36,8 +36,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 #: Words that make what follows sensitive, and how far they reach.
-CONTEXT = re.compile(r"password|passwd|passphrase|pwd|secret|token|credential|private|api_?key|access_?key|auth|bearer", re.I | re.A)
-CONTEXT_WORDS = (b"passw", b"passphrase", b"pwd", b"secret", b"token", b"credential", b"private", b"api", b"access", b"auth", b"bearer")
+CONTEXT = re.compile(
+    r"password|passwd|passphrase|pwd|secret|token|credential|private|api_?key|access_?key|auth|bearer", re.I | re.A
+)
+CONTEXT_WORDS = (
+    b"passw", b"passphrase", b"pwd", b"secret", b"token", b"credential", b"private", b"api", b"access", b"auth", b"bearer"
+)
 REACH = 48
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 AROUND = 512

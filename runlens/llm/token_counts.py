@@ -110,7 +110,9 @@ def count_tokens(
             )
 
     rows = docs.select(
-        F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes")
+        F.col(id_col).alias("id"),
+        text_of(text_col).alias("text"),
+        F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"),
     )
     kind = rows.schema["id"].dataType.simpleString()
     counted = rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")

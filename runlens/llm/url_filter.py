@@ -68,7 +68,10 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """Distinct (source, target) hosts of links that leave their host."""
     target = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link"))
     return (
-        pages.select(host_of(F.col(url_col)).alias("source"), F.explode(F.regexp_extract_all(html_col, F.lit(HREF))).alias("link"))
+        pages.select(
+            host_of(F.col(url_col)).alias("source"),
+            F.explode(F.regexp_extract_all(html_col, F.lit(HREF))).alias("link"),
+        )
         .where(F.col("link").startswith("//") | F.col("link").contains("://"))
         .select("source", host_of(target).alias("target"))
         .where("source <> target and source <> '' and target <> ''")
