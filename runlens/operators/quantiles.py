@@ -17,18 +17,42 @@ from pyspark.sql import functions as F
 
 PERCENTILES = (10, 25, 50, 75, 90)
 STEP_BITS = 16
-_LOW_63 = (1 << 63) - 1
+# The layout of a double: 52 bits of fraction, the exponent with this bias, least normal value 2**-1022.
+_FRACTION, _BIAS, _LEAST = 1 << 52, 1023, 2.0**-1022
 
 
 def ordered_bits(value: Column) -> Column:
-    """The bits of a double as a whole number in the same order."""
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("bigint")
-    return F.when(bits < 0, bits.bitwiseXOR(F.lit(_LOW_63))).otherwise(bits)
+    """A whole number for each double, in the same order: the bits of its size, with its sign.
+
+    Scaling by powers of two is exact, so nothing is lost; 0.0 and -0.0 give 0, NaN the largest number.
+    """
+    size = F.abs(value)
+    guess = F.floor(F.log2(size)).cast("double")
+    first = size / F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(first >= 2, 1).when(first < 1, -1).otherwise(0)
+    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1) * float(_FRACTION)).cast("bigint")
+    normal = (exponent.cast("bigint") + _BIAS) * F.lit(_FRACTION) + fraction
+    tiny = (size * 2.0**537 * 2.0**537).cast("bigint")
+    bits = (
+        F.when(F.isnan(value), F.lit(2048 * _FRACTION - 1))
+        .when(size == float("inf"), F.lit(2047 * _FRACTION))
+        .when(size >= _LEAST, normal)
+        .otherwise(tiny)
+    )
+    return F.when(value < 0, -bits).otherwise(bits)
 
 
 def from_ordered_bits(code: Column) -> Column:
-    bits = F.when(code < 0, code.bitwiseXOR(F.lit(_LOW_63))).otherwise(code)
-    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+    bits = F.abs(code)
+    exponent = F.shiftright(bits, 52)
+    fraction = bits.bitwiseAND(F.lit(_FRACTION - 1)).cast("double")
+    normal = (fraction / float(_FRACTION) + 1) * F.pow(F.lit(2.0), (exponent - _BIAS).cast("double"))
+    size = (
+        F.when(exponent == 0, fraction / 2.0**537 / 2.0**537)
+        .when(exponent < 2047, normal)
+        .otherwise(F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+    )
+    return F.when(code < 0, -size).otherwise(size)
 
 
 def histogram(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:

@@ -102,7 +102,10 @@ def test_concentrated_values(spark):
 
 
 def test_ordered_bits_keep_the_order_and_come_back(spark):
-    values = sorted([0.0, -1e-300, 1e-300, 5e-324, *(s * 10**e for s in (-1.5, 1.0, 2.5) for e in range(-9, 12))])
+    rng = random.Random(7)
+    edges = [2.0**e * (1 + d) for e in (-1022, -1021, -60, -1, 0, 1, 52, 53, 1022) for d in (-2.0**-53, 0.0, 2.0**-52)]
+    drawn = [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-320, 300) for _ in range(3000)]
+    values = sorted({0.0, -1e-300, 1e-300, 5e-324, 1.7976931348623157e308, float("inf"), float("-inf"), *edges, *drawn, *(s * 10**e for s in (-1.5, 1.0, 2.5) for e in range(-9, 12))})
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
     code = ordered_bits(F.col("v"))
     rows = df.select("i", "v", code.alias("b"), from_ordered_bits(code).alias("back")).orderBy("i").collect()
