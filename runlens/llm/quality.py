@@ -43,6 +43,8 @@ ROUNDS = 200
 RATE = 0.02
 LEAST_TAIL = 0.5
 SEED = 11
+#: Documents that are worked on together while fitting.
+PART = 1000
 #: Features whose places a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 500_000
 
@@ -129,12 +131,14 @@ def fit(lists: list[np.ndarray], grades: np.ndarray, least: int) -> Model:
     used = np.nonzero(scale)[0]
     slot = np.full(BUCKETS, -1, dtype=np.int32)
     slot[used] = np.arange(len(used))
-    lists = [slot[f][slot[f] >= 0] for f in lists]
-    sizes = np.array([len(f) for f in lists])
-    at = np.concatenate(lists)
-    value = scale[used][at].astype(np.float32)
-    row = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
+    value = scale[used].astype(np.float32)
     n, m = len(lists), len(used)
+    # Documents come in parts, so that a round needs little memory beside the features themselves.
+    parts = []
+    for first in range(0, n, PART):
+        found = [slot[f][slot[f] >= 0] for f in lists[first : first + PART]]
+        row = np.repeat(np.arange(first, first + len(found), dtype=np.int32), [len(f) for f in found])
+        parts.append((row, np.concatenate(found)))
 
     # Thresholds as the first one and the logarithms of the gaps, which keeps them in order.
     state = np.concatenate([np.zeros(m), [-1.0], np.zeros(top - 1)])
@@ -144,14 +148,16 @@ def fit(lists: list[np.ndarray], grades: np.ndarray, least: int) -> Model:
         return state[m] + np.concatenate([[0.0], np.cumsum(np.exp(state[m + 1 :]))])
 
     for turn in range(1, ROUNDS + 1):
-        score = np.bincount(row, weights=state[:m][at] * value, minlength=n)
+        scaled = state[:m] * value
+        score = sum(np.bincount(row, weights=scaled[at], minlength=n) for row, at in parts)
         cuts = np.concatenate([[-np.inf], thresholds(), [np.inf]])
         upper, lower = sigmoid(cuts[grades + 1] - score), sigmoid(cuts[grades] - score)
         upper[grades == top], lower[grades == 0] = 1.0, 0.0
         likely = np.maximum(upper - lower, 1e-12)
         d_upper, d_lower = upper * (1 - upper) / likely, lower * (1 - lower) / likely
         by_score = (d_upper - d_lower) / n
-        by_weight = np.bincount(at, weights=by_score[row] * value, minlength=m) + PENALTY * state[:m]
+        by_weight = sum(np.bincount(at, weights=by_score[row], minlength=m) for row, at in parts) * value
+        by_weight += PENALTY * state[:m]
         by_cut = np.zeros(top)
         np.add.at(by_cut, grades[grades < top], -d_upper[grades < top] / n)
         np.add.at(by_cut, grades[grades > 0] - 1, d_lower[grades > 0] / n)
