@@ -45,6 +45,8 @@ CONTEXT_WORDS = (
 REACH = 48
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 AROUND = 512
+#: Pieces of a candidate from this length on are copies of it wherever they stand in its surroundings.
+COPY = 8
 MARGINAL = 0.55
 #: Common identifiers of code and configuration, the second half of the dictionary.
 IDENTIFIERS = (
@@ -75,6 +77,29 @@ def base_spans(text: str, lower: bytes) -> list[Span]:
     return found
 
 
+def without_copies(part: str, candidate: str) -> list[str]:
+    """The characters of `part`, those of copies of `candidate` or of pieces of COPY characters empty."""
+    piece = min(COPY, len(candidate))
+    pieces = {candidate[i : i + piece] for i in range(len(candidate) - piece + 1)}
+    kept, until = list(part), 0
+    for i in range(len(part) - piece + 1):
+        if part[i : i + piece] in pieces:
+            start, until = max(i, until), i + piece
+            kept[start:until] = [""] * (until - start)
+    return kept
+
+
+def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
+    """AROUND characters before and after text[start:end], without its copies, also those that reach over the edge."""
+    candidate = text[start:end]
+    over = min(COPY, len(candidate)) - 1
+    low = max(0, start - AROUND)
+    more = max(0, low - over)
+    before = without_copies(text[more:start], candidate)[low - more :]
+    after = without_copies(text[end : end + AROUND + over], candidate)[:AROUND]
+    return "".join(before), "".join(after)
+
+
 def marginal_bytes(before: str, candidate: str, after: str) -> int:
     """What `candidate` adds to the compressed size of its line, given code around it and common identifiers."""
     around = (before + " " + after).encode()
@@ -103,7 +128,8 @@ def novel_spans(text: str, lower: bytes, taken: list[Span], marginal: float) ->
                 continue
             if any(a < end and start < b for _, a, b in taken):
                 continue
-            cost = marginal_bytes(text[max(0, start - AROUND) : start], candidate, text[end : end + AROUND])
+            before, after = surroundings(text, start, end)
+            cost = marginal_bytes(before, candidate, after)
             if cost >= marginal * len(candidate):
                 found.append(("novel", start, end))
     return found

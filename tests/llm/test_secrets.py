@@ -77,3 +77,21 @@ def test_redact(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
     got = secrets.redact(docs).collect()
     assert sorted(map(tuple, got)) == [(1, "a <secret> b", 5), (2, None, 6), (3, "<secret>!", None)]
+
+
+def test_keys_that_occur_again_are_found_each_time(spark):
+    rng = random.Random(9)
+    for n in (20, 40, 64):
+        key = "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+        line = f"curl -H 'Authorization: Bearer {key}' https://host/path\n"
+        for text in (
+            line * 2,
+            line * 40,
+            line + "some words between them " * 19 + line,
+            line + f"Authorization: Bearer {key[: n // 2]}...\n",
+            *(f"key {key}" + " x" * gap + f" auth {key} end" for gap in range(230, 260)),
+        ):
+            want = [(m.start(), m.end()) for m in re.finditer(key, text) if re.search("auth|bearer", text[max(0, m.start() - 48) : m.start()], re.I)]
+            assert want and set(want) <= {(a, b) for kind, a, b in secrets.scan_text(text) if kind == "novel"}
+    docs = spark.createDataFrame([(1, line * 3)], "doc_id long, text string")
+    assert key not in secrets.redact(docs).first()["text"]
