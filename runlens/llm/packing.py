@@ -120,19 +120,29 @@ class Places:
         return self.sequences[at] + within // self.used[at], self.offsets[at] + within % self.used[at] * lengths
 
 
-def encode(docs: DataFrame, id_col: str, text_col: str, capacity: int, ranks_path: str | None, keep_ids: bool) -> DataFrame:
+def ids_of(text: str, ranks: str, vocab: str) -> np.ndarray:
+    """The text's ids without the end mark; both arguments are contents of files of the same vocabulary."""
+    try:
+        return vocabulary.encoding(ranks, vocabulary.PATTERN).encode_to_numpy(text, allowed_special="all")
+    except ValueError:  # its pattern backtracks over runs of blanks and gives up on long ones
+        return np.array(vocabulary.tokenizer(vocab).encode(text, add_special_tokens=False).ids)
+
+
+def encode(
+    docs: DataFrame, id_col: str, text_col: str, capacity: int, ranks_path: str | None, keep_ids: bool, vocab_path: str | None = None
+) -> DataFrame:
     """One stored row per document: ids cut at `capacity`, and its numbers inside the input partition.
 
     `rest` is the remainder's length, `rank` its number among remainders of
     that length, `full_before` the number of full pieces before this document.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(vocabulary.read_ranks(ranks_path))
+    files = docs.sparkSession.sparkContext.broadcast((vocabulary.read_ranks(ranks_path), vocabulary.read(vocab_path)))
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     fields = ["id", "tokens", "crcs", "rest", "part", "rank", "full_before"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = vocabulary.encoding(ranks.value, vocabulary.PATTERN)
+        ranks, vocab = files.value
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity, dtype=np.int64)
         full = 0
@@ -141,7 +151,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, capacity: int, ranks_pat
             out: list[list] = [[] for _ in range(6)]
             kept: list[bytes] = []
             for text in batch.column(1).to_pylist():
-                data = library.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() + end
+                data = ids_of(text, ranks, vocab).astype("<u4").tobytes() + end
                 n = len(data) // 4
                 rest = n % capacity
                 cuts = range(0, len(data), 4 * capacity)
@@ -167,12 +177,14 @@ def pack(
     capacity: int = CAPACITY,
     ranks_path: str | None = None,
     keep_ids: bool = False,
+    vocab_path: str | None = None,
 ) -> DataFrame:
     """One row per piece: id, start, length, crc, tokens, sequence, offset.
 
+    `ranks_path` and `vocab_path` name the two files of the same vocabulary.
     With `keep_ids` also the piece's `ids` as unsigned 32-bit numbers, little-endian.
     """
-    encoded = encode(docs, id_col, text_col, capacity, ranks_path, keep_ids)
+    encoded = encode(docs, id_col, text_col, capacity, ranks_path, keep_ids, vocab_path)
     # At most `capacity` rows: the counts that the fills are made from.
     counts = encoded.groupBy("rest").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("tokens") / capacity)).cast("long").alias("full")

@@ -88,3 +88,13 @@ def test_both_libraries_give_the_same_ids():
     probes += [r[1] or "" for r in llm_rows.odd_rows()]
     for text, want in zip(probes, TOKENIZER.encode_batch(probes, add_special_tokens=False)):
         assert fast.encode(text, allowed_special="all") == want.ids
+
+
+def test_a_million_blanks(spark):
+    texts = [" " * 10**6, "\n" * 10**6, "a" + " \n\t" * 400_000 + "b", "\u3000" * 10**6, "plain", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack(docs, keep_ids=True).collect()
+    data = {}
+    for p in sorted(got, key=lambda p: p["start"]):
+        data[p["id"]] = data.get(p["id"], b"") + bytes(p["ids"])
+    assert data == {i: ids(text).tobytes() for i, text in enumerate(texts)}
