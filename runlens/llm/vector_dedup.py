@@ -10,11 +10,13 @@ meet if either one visits the other's cell; the cosine then decides, so links ar
 false. Cells with many members are cut into blocks; a task counts links and
 gives edges that connect its vectors, never their pairs.
 
-Equal vectors are one class. The codebooks are fitted on at most SAMPLE classes
-(those with the smallest hashes); every vector is indexed and is a query.
+Equal vectors are one class. Vectors of each length have an index of their own;
+its codebooks are fitted on at most SAMPLE classes (those with the smallest
+hashes), and a length with fewer than FITTED classes is a single cell. Every
+vector is indexed and is a query.
 
 Vectors that are null, empty, zero or hold a null or non-finite component link
-with nothing, like those whose length isn't the most common one. Null ids come last in a
+with nothing, and vectors link with those of their length only. Null ids come last in a
 component; of repeated rows one is kept. An empty table gives no rows.
 """
 
@@ -37,6 +39,8 @@ THRESHOLD = 0.9
 RECALL = 0.98
 #: The documented bound of what the codebooks are fitted on.
 SAMPLE = 8192
+#: Classes of a length from which on it has codebooks.
+FITTED = 256
 ROUNDS = 12
 LEAST_CODES, MOST_CODES = 8, 512
 #: Vectors of a block; a task holds two blocks.
@@ -142,22 +146,26 @@ def matrix(column: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(data, dtype).reshape(len(column), -1)
 
 
-def located(classes: DataFrame, index, dtype: str) -> DataFrame:
-    """Stored: node, size, vector, own cell, visited cells."""
+def whole(dim: int) -> Index:
+    """An index of a single cell."""
+    return Index(np.zeros((1, 0)), np.zeros((1, dim)), 0.0)
+
+
+def located(classes: DataFrame, indexes, dtype: str) -> DataFrame:
+    """Stored: dim, node, size, vector, own cell, visited cells; cells are numbered per dim."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                own, visits = traverse(unit(matrix(batch.column("vector"), dtype)), index.value)
-                arrays = [
-                    *(batch.column(k) for k in ("node", "size", "vector")),
-                    pa.array(own, pa.int64()),
-                    pa.array(visits, pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["node", "size", "vector", "own", "visits"])
-
-    picked = classes.select("node", "size", "vector")
-    schema = "node long, size long, vector binary, own long, visits array<long>"
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                same = batch.take(pa.array(np.nonzero(dims == dim)[0]))
+                index = indexes.value.get(dim) or whole(dim)
+                own, visits = traverse(unit(matrix(same.column("vector"), dtype)), index)
+                arrays = [*same.columns, pa.array(own, pa.int64()), pa.array(visits, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["dim", "node", "size", "vector", "own", "visits"])
+
+    picked = classes.select("dim", "node", "size", "vector")
+    schema = "dim int, node long, size long, vector binary, own long, visits array<long>"
     return materialize(picked.mapInArrow(run, schema), "cells")
 
 
@@ -166,20 +174,20 @@ def cell_blocks(cells: DataFrame) -> DataFrame:
     members = cells.withColumn("cell", F.col("own"))
     visitors = cells.withColumn("cell", F.explode("visits"))
     counts = [
-        rows.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias(name))
+        rows.groupBy("dim", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias(name))
         for rows, name in ((members, "lefts"), (visitors, "rights"))
     ]
-    shape = counts[0].join(counts[1], "cell")
+    shape = counts[0].join(counts[1], ["dim", "cell"])
 
     def side(rows: DataFrame, number: int, mine: str, others: str) -> DataFrame:
-        return rows.join(shape, "cell").select(
+        return rows.join(shape, ["dim", "cell"]).select(
             "cell", *cells.columns, F.lit(number).alias("side"),
             F.pmod(F.xxhash64("node", "cell"), F.col(f"{mine}s")).cast("int").alias(mine),
             F.explode(F.sequence(F.lit(0), F.col(f"{others}s") - 1)).alias(others),
         )
 
     both = side(members, 0, "left", "right").unionByName(side(visitors, 1, "right", "left"))
-    return both.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right", "side")
+    return both.repartition("dim", "cell", "left", "right").sortWithinPartitions("dim", "cell", "left", "right", "side")
 
 
 def joining_edges(rows: np.ndarray, columns: np.ndarray, hits: np.ndarray) -> list[tuple[int, int]]:
@@ -203,7 +211,7 @@ def link(threshold: float, dtype: str):
     """A stage over `cell_blocks`: rows (node, links, null) of link counts and (a, null, b) of edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (cell, _, _), table in runs(batches, ["cell", "left", "right"]):
+        for (_, cell, _, _), table in runs(batches, ["dim", "cell", "left", "right"]):
             sides = table.column("side").to_numpy()
             cut = int((sides == 0).sum())
             if not 0 < cut < len(sides):
@@ -249,24 +257,22 @@ def near_duplicates(
     spark = vectors.sparkSession
     dtype = "<f4" if "float" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
     rows = stored(vectors, id_col, vector_col, dtype)
-    common = rows.where("dim > 0").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 0
     classes = materialize(
-        rows.where((F.col("dim") == dim) & (F.col("dim") > 0))
-        .groupBy("key")
+        rows.where("dim > 0")
+        .groupBy("dim", "key")
         .agg(first_id("id").alias("head"), F.count(F.lit(1)).alias("size"), F.first("vector").alias("vector"))
-        .select(F.col("head.row").alias("node"), "head", "key", "size", "vector"),
+        .select("dim", F.col("head.row").alias("node"), "head", "key", "size", "vector"),
         "vector-classes",
     )
-    total = classes.count()
-    if dim > 1 and total:
-        picked = classes.select("vector").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
+    fitted = {}
+    # Numbers have no halves: one cell, in blocks.
+    for dim, total in classes.where("dim > 1").groupBy("dim").count().where(f"count >= {FITTED}").orderBy("dim").collect():
+        same = classes.where(F.col("dim") == dim)
+        picked = same.select("vector").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
         sample = unit(np.frombuffer(b"".join(r["vector"] for r in picked), dtype).reshape(-1, dim))
-        index = spark.sparkContext.broadcast(fit(sample, total, threshold, recall))
-    else:  # numbers have no halves: one cell, in blocks
-        whole = np.zeros((1, 0)), np.zeros((1, max(dim, 1)))
-        index = spark.sparkContext.broadcast(Index(*whole, 0.0))
-    found = cell_blocks(located(classes, index, dtype)).mapInArrow(link(threshold, dtype), "a long, links long, b long")
+        fitted[dim] = fit(sample, total, threshold, recall)
+    indexes = spark.sparkContext.broadcast(fitted)
+    found = cell_blocks(located(classes, indexes, dtype)).mapInArrow(link(threshold, dtype), "a long, links long, b long")
     found = materialize(found, "vector-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     parts = components(found.where("b is not null").select("a", "b"), "vector-parts")

@@ -102,3 +102,24 @@ def test_links_at_the_threshold_are_found(spark):
     got = vector_dedup.near_duplicates(frame(spark, rows)).collect()
     there = sum(n for _, n, _ in expected(rows))
     assert there >= 1200 and sum(r["n_links"] for r in got) >= 0.9 * there
+
+
+def test_each_length_has_its_links(spark):
+    """Two frequent lengths, a rare one and numbers, against brute force per length."""
+    random = np.random.default_rng(11)
+    vectors = []
+    for dim, centres in ((16, 320), (24, 300), (5, 20)):
+        points = np.repeat(random.normal(size=(centres, dim)), 2, axis=0)
+        points[::2] += random.normal(size=points[::2].shape) * 0.05
+        vectors += points.astype(np.float32).tolist() + points[:6].astype(np.float32).tolist()
+    vectors += [[2.0], [3.0], [-1.0]]
+    rows = [(i, vectors[j]) for i, j in enumerate(random.permutation(len(vectors)).tolist())]
+    want = {}
+    for dim in (16, 24, 5, 1):
+        want |= {v: (n, c) for v, n, c in expected([r for r in rows if len(r[1]) == dim])}
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got.keys() == want.keys() and all(got[v][0] <= want[v][0] for v in want)
+    for dim in (16, 24):
+        ids = [v for v, e in rows if len(e) == dim]
+        assert sum(got[v][0] for v in ids) >= 0.97 * sum(want[v][0] for v in ids) > 0
+    assert all(got[v] == want[v] for v, e in rows if len(e) < 16)
