@@ -1,7 +1,9 @@
 """Scan for secrets: three base patterns, and strings that don't compress.
 
 The base patterns give spans of the kinds assign, access and hex. Beyond them,
-a candidate is a mixed string near a sensitive word. Its marginal cost is what
+a candidate is a string near a sensitive word, before or after it: any value of
+8 characters or more that is quoted or assigned, or else 16 characters or more
+with a digit and a letter. Its marginal cost is what
 zstandard needs for it on top of its surroundings: the line up to the candidate
 is compressed with and without it, with the code around and a list of common
 identifiers as dictionary. Names, paths and words built from what the
@@ -18,6 +20,7 @@ pass through, null or repeated; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +47,10 @@ CONTEXT_WORDS = (
 )
 REACH = 48
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Values, without the signs that assign them, and what stands before a quoted or assigned one.
+VALUE = re.compile(r"[A-Za-z0-9+/_-]{8,}={0,2}")
+BARE_LENGTH = 16
+MARK = re.compile(r"""(["'`]|[:=]>?\x20*|\b(bearer|basic)\x20+)\Z""", re.I | re.A)
 AROUND = 512
 #: Pieces of a candidate from this length on are copies of it wherever they stand in its surroundings.
 COPY = 8
@@ -132,6 +139,32 @@ def novel_spans(text: str, lower: bytes, taken: list[Span], marginal: float) ->
             cost = marginal_bytes(before, candidate, after)
             if cost >= marginal * len(candidate):
                 found.append(("novel", start, end))
+    return found + values(text, taken + found, marginal)
+
+
+def values(text: str, taken: list[Span], marginal: float) -> list[Span]:
+    """Novel values on either side of a sensitive word that `taken` doesn't cover in part."""
+    words = [m.span() for m in CONTEXT.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+
+    def near(places: list[int], low: int, high: int) -> bool:
+        at = bisect_left(places, low)
+        return at < len(places) and places[at] <= high
+
+    found: list[Span] = []
+    for m in VALUE.finditer(text):
+        start, end = m.span()
+        if not near(ends, start - REACH, start) and not near(starts, end, end + REACH):
+            continue
+        candidate = m.group()
+        mixed = any(c.isdigit() for c in candidate) and any(c.isalpha() for c in candidate)
+        if not (mixed and len(candidate) >= BARE_LENGTH) and not MARK.search(text, max(0, start - REACH), start):
+            continue
+        if CONTEXT.fullmatch(candidate) or any(a < end and start < b for _, a, b in taken):
+            continue
+        before, after = surroundings(text, start, end)
+        if marginal_bytes(before, candidate, after) >= marginal * len(candidate):
+            found.append(("novel", start, end))
     return found
 
 

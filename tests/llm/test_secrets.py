@@ -95,3 +95,23 @@ def test_keys_that_occur_again_are_found_each_time(spark):
             assert want and set(want) <= {(a, b) for kind, a, b in secrets.scan_text(text) if kind == "novel"}
     docs = spark.createDataFrame([(1, line * 3)], "doc_id long, text string")
     assert key not in secrets.redact(docs).first()["text"]
+
+
+def test_values_are_measured_whatever_their_characters_and_side():
+    rng = random.Random(10)
+
+    def some(alphabet, n):
+        return "".join(rng.choices(alphabet, k=n))
+
+    for line, key in (
+        ("Authorization: Bearer {}", some(string.ascii_letters, 40)),
+        ("credential = '{}'", some(string.digits, 24)),
+        ("pwd: {}", some(string.ascii_letters + string.digits, 8)),
+        ("auth_id={}", some(string.ascii_letters, 24)),
+        ('passphrase="{}"', some(string.ascii_letters + string.digits, 12)),
+        ("'{}' is the auth", some(string.ascii_letters + string.digits, 20)),
+        ("{} is the private one", some(string.ascii_letters, 24) + "7"),
+    ):
+        text = line.format(key)
+        at = text.index(key)
+        assert any(k == "novel" and a <= at and at + len(key) <= b for k, a, b in secrets.scan_text(text)), text
