@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.functions.text import let
 from runlens.llm import (
     exact_dedup,
     mixing,
     near_dedup,
     packing,
+    periodic,
     quality,
     secrets,
     sharding,
@@ -287,3 +289,122 @@ def op8_ordinal_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.rate(docs, model, quality.GOOD).select(
         F.col("id").alias("doc_id"), "score", "expected_grade", F.col("tail").alias("tail_probability"), "kept"
     )
+
+
+#: Levels of the SQL below: periods up to 2**15, so texts of up to 131,072 words.
+SQL_LEVELS = 16
+
+
+def _periodic_sql() -> str:
+    levels = "".join(
+        f"""
+        g{j} as (
+            select doc_id, n, i, md5(g || ' ' || lead(g, {1 << (j - 1)}) over (partition by doc_id order by i)) as g
+            from g{j - 1} where n >= {4 * ((1 << (j - 1)) + 1)}
+        ),"""
+        for j in range(1, SQL_LEVELS)
+    )
+    gaps = " union all ".join(
+        f"select doc_id, i, {1 << j} as width, i - lag(i) over (partition by doc_id, g order by i) as q from g{j} where g is not null"
+        for j in range(SQL_LEVELS)
+    )
+    return rf"""
+    with bits as (
+        select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)
+                    order by i) as t
+        from range(256) r(i)
+    ),
+    numbers as (
+        select doc_id, xor(list_reduce(list_transform(regexp_split_to_array(doc_id::varchar, ''), lambda x: ord(x)::bigint),
+            lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295) as h
+        from documents, bits
+    ),
+    texts as (
+        select doc_id, h, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') as w
+        from documents join numbers using (doc_id)
+    ),
+    planted as (
+        select doc_id, len(w)::bigint as n, w, h % 10 = 0 and len(w) > 0 as made, (h // 10) % greatest(len(w), 1) as a,
+               1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) as p
+        from texts
+    ),
+    words as (
+        select doc_id, n, i, case when made and i >= a then w[a + (i - a) % p + 1] else w[i + 1] end as g
+        from (select *, unnest(range(n)) as i from planted)
+    ),
+    g0 as materialized (select * from words),{levels}
+    gaps as ({gaps}),
+    islands as (
+        select *, i - row_number() over (partition by doc_id, width, q order by i) as island
+        from gaps where q * 2 > width and q <= width
+    ),
+    runs as (
+        select doc_id, min(i) - q as start, max(i) + width - min(i) + q as length, q as period
+        from islands group by doc_id, width, q, island
+        having max(i) + width - min(i) + q >= greatest(6, 4 * q)
+    ),
+    turns as (
+        select doc_id, i, sum(turn) as turn from (
+            select doc_id, start + period as i, 1 as turn from runs union all select doc_id, start + length, -1 from runs
+        ) group by doc_id, i
+    ),
+    kept as (
+        select doc_id, string_agg(g, ' ' order by i) as text from (
+            select doc_id, i, g, sum(coalesce(turn, 0)) over (partition by doc_id order by i) as inside
+            from words left join turns using (doc_id, i)
+        ) where inside = 0 group by doc_id
+    ),
+    listed as (
+        select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs,
+               min({{'length': -length, 'start': start, 'period': period}}) as best
+        from runs group by doc_id
+    )
+    select doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, -best.length as length, best.period as period,
+           1000 * -best.length // best.period as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256,
+           sha256(coalesce(kept.text, '')) as collapsed_sha256
+    from documents left join listed using (doc_id) left join kept using (doc_id)
+    """
+
+
+def repeated_tail(doc_id: str, text: str) -> Column:
+    """The text whose words repeat from some place on, in every tenth document by the checksum of its id (as the contract says)."""
+    checksum = F.crc32(F.col(doc_id).cast("string"))
+    g = F.floor(checksum / 10).cast("long")
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def made(w: Column) -> Column:
+        n = F.size(w).cast("long")
+
+        def turned(bounds: Column) -> Column:
+            a, p = bounds["a"], bounds["p"]
+            places = F.sequence(F.lit(0).cast("long"), n - 1)
+            return F.array_join(
+                F.transform(places, lambda i: F.get(w, F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int"))), " "
+            )
+
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        return F.when(n > 0, let(F.struct(a.alias("a"), p.alias("p")), turned)).otherwise(F.lit(""))
+
+    return F.when(checksum % 10 == 0, let(words, made)).otherwise(F.col(text))
+
+
+@query("op12_periodic_runs", _periodic_sql())
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", repeated_tail("doc_id", "text").alias("text"))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"], r["period"])))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return (
+        periodic.collapse(docs)
+        .withColumn("_best", best)
+        .select(
+            F.col("id").alias("doc_id"),
+            F.size("runs").cast("long").alias("n_runs"),
+            F.col("_best.start").alias("start"),
+            (-F.col("_best.length")).alias("length"),
+            F.col("_best.period").alias("period"),
+            F.floor(-1000 * F.col("_best.length") / F.col("_best.period")).cast("long").alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )

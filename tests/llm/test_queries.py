@@ -18,7 +18,7 @@ def test_query(spark, con, key):
     assert outcome.startswith("ok" if key in ORACLES else "rows only"), outcome
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     numbers = sorted(int(key[2:].split("_")[0]) for key in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert set(range(1, 11)) <= set(numbers) and len(set(numbers)) == len(numbers)
     assert "pipeline" in check_oracle.contract.queries()
