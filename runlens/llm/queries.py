@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.text import let
 from runlens.llm import (
+    alignment,
     exact_dedup,
     mixing,
     near_dedup,
@@ -320,7 +321,8 @@ def _periodic_sql() -> str:
         from documents, bits
     ),
     texts as (
-        select doc_id, h, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') as w
+        select doc_id, h, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') as w
         from documents join numbers using (doc_id)
     ),
     planted as (
@@ -408,3 +410,20 @@ def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
             F.sha2("collapsed", 256).alias("collapsed_sha256"),
         )
     )
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    def digest(groups: Column) -> Column:
+        return F.when(F.length(groups) > 0, F.sha2(groups, 256)).otherwise(F.lit(""))
+
+    return alignment.align(table(spark, sf, "documents"), shown=digest).select(
+        F.col("id").alias("doc_id"),
+        "n_a",
+        "n_b",
+        F.col("n_links").alias("n_groups"),
+        "n_links",
+        "n_best",
+        "count_sum",
+        F.col("groups").alias("groups_sha256"),
+    )
