@@ -11,6 +11,7 @@ from runlens.functions.text import let
 from runlens.llm import (
     alignment,
     exact_dedup,
+    language,
     mixing,
     near_dedup,
     packing,
@@ -427,3 +428,14 @@ def op13_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
         "count_sum",
         F.col("groups").alias("groups_sha256"),
     )
+
+
+@query("op11_script_viterbi")
+def op11_script_viterbi(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.train(docs, where=F.col("doc_id").isNotNull() & ~held_out)
+    labelled = language.label(docs, model).withColumnRenamed("id", "doc_id")
+    return labelled.select(
+        "doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score", F.size("spans").cast("long").alias("n_spans")
+    )
