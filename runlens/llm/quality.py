@@ -11,12 +11,13 @@ log ratio of its smoothed counts in documents that reach `least` and in others;
 features of fewer than LEAST_DOCUMENTS rated documents get none.
 
 The weights are fitted on at most SAMPLE rated documents (those whose ids have the
-smallest hashes): a documented bound, since the model has a fixed size.
-Everything else runs over all rows.
+smallest hashes) and, of these, the first ones that have FEATURES features together: documented
+bounds, since the model has a fixed size. One task of an executor fits; the driver
+gets the weights alone. Everything else runs over all rows.
 
 Null text counts as empty and is scored by its shape. Ratings that are null, or whose
 document is missing, are left out; a document rated twice takes its lowest
-grade. If the ratings hold less than two grades nothing can be learned and every
+grade, and an id with several texts the one whose features come first. If the ratings hold less than two grades nothing can be learned and every
 document is kept. Ids pass through, null or repeated; an empty table gives no rows.
 """
 
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from runlens.llm.common import text_of
 
 SAMPLE = 10_000
+FEATURES = 1 << 24
 BUCKETS = 1 << 18
 LEAST_DOCUMENTS = 10
 SMOOTHING = 4.0
@@ -172,28 +174,56 @@ def fit(lists: list[np.ndarray], grades: np.ndarray, least: int) -> Model:
 
 
 def train(docs: DataFrame, ratings: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most SAMPLE rows of `ratings` (id, grade)."""
+    """Fit on at most SAMPLE documents of `ratings` (id, grade), in one task."""
+    drawn = F.xxhash64("rated", F.lit(SEED)).alias("turn")
     picked = (
         ratings.select(F.col(id_col).alias("rated"), F.col("grade").cast("int").alias("grade"))
         .where("rated is not null and grade >= 0")
         .groupBy("rated")
         .agg(F.min("grade").alias("grade"))
-        .orderBy(F.xxhash64("rated", F.lit(SEED)), "rated")
+        .select(drawn, "rated", "grade")
+        .orderBy("turn", "rated")
         .limit(SAMPLE)
     )
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    # At most SAMPLE ids are broadcast.
+    sample = rows.join(F.broadcast(picked), F.col("id") == F.col("rated")).select("turn", "rated", "grade", "text")
+    kind = sample.schema["rated"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places()
         for batch in batches:
             found = [features(t, places).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(found, pa.binary())], names=["grade", "places"])
+            kept = [batch.column(k) for k in ("turn", "rated", "grade")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.binary())], names=["turn", "rated", "grade", "places"])
 
-    # At most SAMPLE ids are broadcast; repeated rows can't exceed the sample either.
-    sample = rows.join(F.broadcast(picked), F.col("id") == F.col("rated")).select("grade", "text").limit(SAMPLE)
-    found = sample.mapInArrow(run, "grade int, places binary").toArrow()
-    lists = [np.frombuffer(p, np.int32) for p in found.column("places").to_pylist()]
-    return fit(lists, found.column("grade").to_numpy().astype(np.int64), least)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: list[np.ndarray] = []
+        grades: list[int] = []
+        left = FEATURES
+        for batch in batches:
+            for grade, data in zip(batch.column("grade").to_pylist(), batch.column("places").to_pylist()):
+                left -= len(data) // 4
+                if left < 0:
+                    break
+                lists.append(np.frombuffer(data, np.int32))
+                grades.append(grade)
+        model = fit(lists, np.array(grades, dtype=np.int64), least)
+        arrays = [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["weights", "thresholds"])
+
+    found = sample.mapInArrow(run, f"turn long, rated {kind}, grade int, places binary")
+    single = found.groupBy("turn", "rated").agg(F.min("grade").alias("grade"), F.min("places").alias("places"))
+    fitted = (
+        single.repartition(1)
+        .sortWithinPartitions("turn", "rated")
+        .select("grade", "places")
+        .mapInArrow(learn, "weights binary, thresholds array<double>")
+        .first()
+    )
+    if fitted is None:
+        return Model(np.zeros(BUCKETS), np.empty(0))
+    return Model(np.frombuffer(bytes(fitted["weights"]), np.float64), np.array(fitted["thresholds"], dtype=np.float64))
 
 
 def judge(model: Model, least: int, least_tail: float) -> Callable[[str, Places], tuple[float, float, float, bool]]:
