@@ -100,6 +100,65 @@ def _section_hunks(section: Column, keep_open: bool) -> Column:
     return F.filter(found, lambda hunk: F.size(hunk["records"]) > 0)
 
 
+def path_suffixes(path: Column) -> Column:
+    """The path and what follows each of its slashes."""
+    return let(
+        F.split(path, "/", -1),
+        lambda parts: F.transform(
+            parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts) - i), "/")
+        ),
+    )
+
+
+def last_sections(paths: Column, wanted: Column) -> Column:
+    """For each wanted path the 0-based place of the last of `paths` that equals it or ends in `/path`.
+
+    All suffixes of the paths and the wanted paths are sorted together. Equal
+    names then stand side by side, so each group of them is looked at once and
+    a patch of many files costs little more than their number.
+    """
+
+    def entry(name: Column, place: Column | None, asked: Column | None) -> Column:
+        return F.struct(
+            name.alias("name"),
+            (F.lit(None).cast("int") if place is None else place).alias("place"),
+            (F.lit(None).cast("int") if asked is None else asked).alias("asked"),
+        )
+
+    known = F.flatten(
+        F.transform(
+            paths, lambda p, i: F.transform(path_suffixes(p), lambda name: entry(name, i, None))
+        )
+    )
+    asked = F.transform(wanted, lambda name, i: entry(name, None, i))
+
+    def from_names(names: Column) -> Column:
+        def is_first(_: Column, i: Column) -> Column:
+            return (i == 0) | ~F.get(names, i)["name"].eqNullSafe(F.get(names, i - 1)["name"])
+
+        def from_firsts(firsts: Column) -> Column:
+            def answers(first: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(firsts, k + 1), F.size(names))
+
+                def of_group(group: Column) -> Column:
+                    last = F.array_max(F.transform(group, lambda e: e["place"]))
+                    return F.transform(
+                        F.filter(group, lambda e: e["asked"].isNotNull()),
+                        lambda e: F.struct(e["asked"].alias("asked"), last.alias("place")),
+                    )
+
+                return let(F.slice(names, first + 1, end - first), of_group)
+
+            return F.transform(
+                F.array_sort(F.flatten(F.transform(firsts, answers))), lambda a: a["place"]
+            )
+
+        marked = F.transform(names, lambda e, i: F.when(is_first(e, i), i))
+        return let(F.filter(marked, lambda i: i.isNotNull()), from_firsts)
+
+    return let(F.array_sort(F.concat(known, asked)), from_names)
+
+
 def patch_files(
     patch: Column, files: Column | None = None, suffix: str = ".py", keep_open: bool = False
 ) -> Column:
@@ -107,7 +166,7 @@ def patch_files(
 
     `files` defaults to the patch's own changed files; only paths ending in
     `suffix` are taken. A path is looked up among the patch's sections: equal
-    or ending in `/path`, and the last matching section counts.
+    or ending in `/path`, and the last matching section counts (`last_sections`).
     """
 
     def from_lines(lines: Column) -> Column:
@@ -122,21 +181,15 @@ def patch_files(
             )
 
             def from_sections(known: Column) -> Column:
+                paths = F.transform(known, lambda s: s["path"])
                 listed = files
                 if listed is None:
-                    listed = F.filter(
-                        F.transform(known, lambda s: s["path"]), lambda p: p != "/dev/null"
-                    )
+                    listed = F.filter(paths, lambda p: p != "/dev/null")
                 wanted = F.filter(listed, lambda p: F.endswith(p, F.lit(suffix)))
 
-                def one(path: Column) -> Column:
-                    matching = F.filter(
-                        known,
-                        lambda s: (s["path"] == path)
-                        | F.endswith(s["path"], F.concat(F.lit("/"), path)),
-                    )
+                def one(path: Column, at: Column) -> Column:
                     return let(
-                        F.try_element_at(matching, F.lit(-1)),
+                        F.get(known, at),
                         lambda s: F.struct(
                             path.alias("path"),
                             s.isNotNull().alias("in_diff"),
@@ -149,7 +202,7 @@ def patch_files(
                         ),
                     )
 
-                return F.transform(wanted, one)
+                return let(wanted, lambda w: F.zip_with(w, last_sections(paths, w), one))
 
             return let(sections, from_sections)
 

@@ -1,4 +1,4 @@
-"""Joining per-key summaries back to rows whose keys may be very uneven."""
+"""Joins by keys that may be very uneven: per-key summaries, and tables of large rows."""
 
 from __future__ import annotations
 
@@ -68,3 +68,36 @@ def join_summary(
         *rows.columns,
         *[F.coalesce(F.col(f"_heavy.{c}"), F.col(f"_light.{c}")).alias(c) for c in fields],
     )
+
+
+def join_replicated(rows: DataFrame, table: DataFrame, keys: list[str], heavy_share: int = HEAVY_SHARE) -> DataFrame:
+    """`rows` left-joined with `table`, which is unique by `keys` and may have large rows.
+
+    Keys with more than 1/heavy_share of all rows are fewer than heavy_share. Only they are broadcast,
+    each with a number of slots; their rows of `table` are repeated once per slot and the rows that ask for
+    them are spread over the slots. The table itself is never broadcast on purpose.
+    """
+    counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "asked")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    heavy = counts.where(F.col("_n") * heavy_share > total).select(
+        *[F.col(k).alias(f"_heavy_{k}") for k in keys], F.ceil(F.col("_n") / SLOT_ROWS).cast("int").alias("_slots")
+    )
+
+    def with_slots(df: DataFrame) -> DataFrame:
+        same = [df[k] == F.col(f"_heavy_{k}") for k in keys]
+        return df.join(F.broadcast(heavy), same, "left").select(
+            *[df[c] for c in df.columns], F.coalesce("_slots", F.lit(1)).alias("_slots")
+        )
+
+    # A hash and not the slot alone: the shuffle then depends on it for all keys alike.
+    slot = F.pmod(F.monotonically_increasing_id(), F.col("_slots")).cast("int")
+    spread = with_slots(rows).withColumn("_slot", slot).drop("_slots")
+    repeated = (
+        with_slots(table)
+        .withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)))
+        .drop("_slots")
+        .withColumnsRenamed({k: f"_table_{k}" for k in keys} | {"_slot": "_table_slot"})
+    )
+    same = [F.col(k) == F.col(f"_table_{k}") for k in keys] + [F.col("_slot") == F.col("_table_slot")]
+    others = [c for c in table.columns if c not in keys]
+    return spread.join(repeated, same, "left").select(*rows.columns, *others)
