@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.operators.apply_patch import apply_patches
 from runlens.operators.hunks import explode_hunks, patch_files
 from runlens.operators.syntax import (
     error_snippet,
     syntax_checked,
     syntax_errors,
     syntax_feedback,
+    syntax_reports,
     syntax_verdicts,
+    whole_file_verdicts,
 )
 from runlens.plans.registry import query
 from runlens.sources import fixtures as fx
@@ -185,3 +188,78 @@ def free_text(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.select(
         "doc_id", "name", consistent.alias("consistent"), "files_total", "files_checkable", "files_skipped"
     )
+
+
+# What the patches of the stored files must lead to, from the documents alone. Hunk by hunk, the
+# broken hunk is lost where a git header follows it.
+STORED = r"""
+d as (select doc_id, source, n_chars, doc_id % 6 as kind, doc_id % 11 = 0 as note, doc_id % 2 = 0 and doc_id % 11 <> 0 as common,
+  translate(text, '"' || chr(92), '''/') as body,
+  length(text) - length(replace(text, chr(10), '')) + 1 as k from documents),
+t as (select *, not note and (kind = 2 or kind = 4 and not common) as bad, concat('pkg/m', doc_id, '.py') as path,
+  case kind when 0 then concat('def f():', chr(10), concat('    ', repeat(chr(34), 3), 'doc of'), chr(10), '    more', chr(10), body, chr(10), concat('    ', repeat(chr(34), 3)), chr(10), '    return ', n_chars, ' + 1', chr(10))
+   when 1 then concat('def f():', chr(10), concat('    ', repeat(chr(34), 3), 'doc'), chr(10), body, chr(10), concat('    ', repeat(chr(34), 3)), chr(10), '    return ', n_chars, ' + 1', chr(10))
+   when 2 then concat('def f():', chr(10), concat('    ', repeat(chr(34), 3), 'doc'), chr(10), body, chr(10), concat('    ', repeat(chr(34), 3)), chr(10), '    return (', chr(10))
+   when 5 then concat(repeat(chr(34), 3), chr(10), body, chr(10), repeat(chr(34), 3), chr(10), 'N = ', n_chars, chr(10)) end as own_text from d)
+"""
+
+
+@query(
+    "apply_patches",
+    f"""
+with {STORED.strip()}
+select doc_id, 0 as file_no, path, case kind when 3 then 'rejected' when 4 then 'missing' when 5 then 'created' else 'modified' end as outcome,
+ kind not in (3, 4) as whole, case kind when 0 then '0,0' when 1 then '-7' when 3 then 'none' when 4 then null else '0' end as moves,
+ sha256(own_text) as text_sha256 from t where not note
+union all
+select doc_id, 1, 'pkg/common.py', 'modified', kind not in (3, 4), '0',
+ sha256(concat('A = 1', chr(10), 'B = ', doc_id, chr(10), 'C = 3', chr(10), 'D = 4', chr(10), 'E = 5', chr(10))) from t where common
+union all
+select doc_id, 0, 'n.txt', 'created', true, '0', sha256('note' || chr(10)) from t where note
+""",
+)
+def applied(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of each file of each patch."""
+    rows = apply_patches(fx.stored_patches(spark, sf), fx.stored_files(spark, sf), "doc_id")
+    return rows.select("doc_id", "whole", F.explode("sections").alias("s")).select(
+        "doc_id",
+        "s.file_no",
+        "s.path",
+        "s.outcome",
+        "whole",
+        F.array_join("s.moves", ",", "none").alias("moves"),
+        F.sha2("s.new_text", 256).alias("text_sha256"),
+    )
+
+
+@query(
+    "syntax_whole_files",
+    f"""
+with {STORED.strip()},
+s as (select doc_id, case when note then 0 else 1 + common::int end as files,
+ case when bad then 1 else 0 end as errored, kind in (3, 4) and not note as by_hunk from t)
+select doc_id, 'ast_check' as name, case when files = 0 then 'skipped' else 'ok' end as status,
+ coalesce((files - errored) / nullif(files, 0)::double, 1.0::double) as score, 1.0::double as pass_threshold,
+ files::bigint as files_total, files::bigint as files_checkable, (files - errored)::bigint as files_parsed,
+ 0::bigint as files_skipped, errored::bigint as files_errored, case when by_hunk then 'hunk' else 'full_file' end as method from s
+""",
+)
+def whole_files(spark: SparkSession, sf: str) -> DataFrame:
+    verdicts = whole_file_verdicts(fx.stored_patches(spark, sf), fx.stored_files(spark, sf), "doc_id")
+    return verdicts.drop("errors")
+
+
+@query(
+    "syntax_whole_file_errors",
+    f"""
+with {STORED.strip()}
+select doc_id, path as file, (case kind when 2 then k + 4 else 2 end)::int as line, 12 as "offset", '''' || '(' || '''' || ' was never closed' as message,
+ case kind when 2 then concat('        ', printf('%4d', k + 2), '   ', string_split(body, chr(10))[k], chr(10),
+   '        ', printf('%4d', k + 3), '       ', repeat(chr(34), 3), chr(10), '    --> ', printf('%4d', k + 4), '       return (')
+  else concat('           1   def f():', chr(10), '    -->    2 +     return (') end as snippet
+from t where bad
+""",
+)
+def whole_file_errors(spark: SparkSession, sf: str) -> DataFrame:
+    verdicts = whole_file_verdicts(fx.stored_patches(spark, sf), fx.stored_files(spark, sf), "doc_id")
+    return syntax_reports(verdicts, "doc_id").select("doc_id", "file", "line", "offset", "message", "snippet")

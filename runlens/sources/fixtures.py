@@ -209,6 +209,81 @@ def code_patches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Base files: per document a function with the text as its documentation, per source a module that many patches change."""
+    docs = table(spark, sf, "documents").where(~(F.col("doc_id") % 6).isin(4, 5))
+    own = docs.select(
+        F.col("source").alias("repo"),
+        F.lit("c1").alias("commit"),
+        F.concat(F.lit("pkg/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
+        F.concat(
+            F.lit('def f():\n    """doc\n'), plain_text(), F.lit('\n    """\n    return '), F.col("n_chars").cast("string"), F.lit("\n")
+        ).alias("content"),
+    )
+    common = table(spark, sf, "documents").select(
+        F.col("source").alias("repo"),
+        F.lit("c1").alias("commit"),
+        F.lit("pkg/common.py").alias("path"),
+        F.lit("A = 1\nB = 2\nC = 3\nD = 4\nE = 5\n").alias("content"),
+    )
+    return own.unionByName(common.distinct())
+
+
+def plain_text() -> Column:
+    """A document's text that can stand inside a string."""
+    return F.translate("text", '"\\', "'/")
+
+
+def stored_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Patches of the stored files: exact, moved, broken, rejected, without a base file, of a new file, and of no Python file."""
+    n, text, count = F.col("doc_id"), plain_text(), F.col("n_chars").cast("string")
+    lines = F.size(F.split(text, "\n", -1))
+    path = F.concat(F.lit("pkg/m"), n.cast("string"), F.lit(".py"))
+
+    def last(at: Column, context: str, new: Column) -> Column:
+        """A hunk that replaces the last line."""
+        place = (at + lines).cast("string")
+        return F.concat(
+            F.lit("@@ -"), place, F.lit(",2 +"), place, F.lit(f",2 @@\n     {context}\n-    return "), count, F.lit("\n+    return "), new, F.lit("\n")
+        )
+
+    more = F.concat(count, F.lit(" + 1"))
+    first = F.concat(
+        F.lit('@@ -1,3 +1,4 @@ def f():\n def f():\n-    """doc\n+    """doc of\n+    more\n '),
+        F.get(F.split(text, "\n", -1), F.lit(0)), F.lit("\n"),
+    )
+    kind = n % 6
+    hunks = (
+        F.when(kind == 0, F.concat(first, last(F.lit(3), '"""', more)))
+        .when(kind == 1, last(F.lit(10), '"""', more))
+        .when(kind == 2, last(F.lit(3), '"""', F.lit("(")))
+        .when(kind == 3, last(F.lit(3), "x = 1", more))
+        .when(kind == 4, F.lit("@@ -1,2 +1,2 @@\n def f():\n-    pass\n+    return (\n"))
+        .otherwise(
+            F.concat(
+                F.lit("@@ -0,0 +1,"), (lines + 3).cast("string"), F.lit(' @@\n+"""\n+'),
+                F.replace(text, F.lit("\n"), F.lit("\n+")), F.lit('\n+"""\n+N = '), count, F.lit("\n"),
+            )
+        )
+    )
+    old = F.when(kind == 5, F.lit("/dev/null")).otherwise(F.concat(F.lit("a/"), path))
+    own = F.concat(F.lit("--- "), old, F.lit("\n+++ b/"), path, F.lit("\n"), hunks)
+    common = F.when(
+        n % 2 == 0,
+        F.concat(
+            F.lit("diff --git a/pkg/common.py b/pkg/common.py\n--- a/pkg/common.py\n+++ b/pkg/common.py\n@@ -1,4 +1,4 @@\n A = 1\n-B = 2\n+B = "),
+            n.cast("string"), F.lit("\n C = 3\n D = 4\n"),
+        ),
+    ).otherwise(F.lit(""))
+    note = F.lit("--- /dev/null\n+++ b/n.txt\n@@ -0,0 +1 @@\n+note\n")
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        F.col("source").alias("repo"),
+        F.lit("c1").alias("commit"),
+        F.when(n % 11 == 0, note).otherwise(F.concat(own, common)).alias("patch_diff"),
+    )
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("session_id"), "turn", "role", "text"

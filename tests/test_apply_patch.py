@@ -3,7 +3,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from runlens.operators import apply_patch, skew
+from runlens.operators import apply_patch, skew, syntax
 from runlens.operators.hunks import last_sections
 
 PATCH = "key long, repo string, commit string, patch_diff string"
@@ -167,3 +167,46 @@ def test_last_sections_against_plain_search(spark):
     for r in df.withColumn("got", last_sections(F.col("paths"), F.col("wanted"))).collect():
         want = [max((i for i, p in enumerate(r["paths"]) if p == w or p.endswith("/" + w)), default=None) for w in r["wanted"]]
         assert r["got"] == want, r
+
+
+def test_verdicts_over_whole_files(spark):
+    base = 'def f():\n    """words that\n    are no code\n    at all\n    """\n    return 1\n'
+    good = diff(base, base.replace("are no", "are not"), context=1)
+    bad = diff(base, base.replace("return 1", "return (1"), "f.py")
+    text = "--- /dev/null\n+++ b/n.txt\n@@ -0,0 +1 @@\n+note\n"
+    crash = "--- /dev/null\n+++ b/deep.py\n@@ -0,0 +1 @@\n+" + "(" * 150 + "1" + ")" * 150 + "\n"
+    gone = diff(base, "").replace("+++ b/f.py", "+++ /dev/null")
+    cases = [
+        (0, "c", good, "full_file", "ok", 1.0),
+        (1, "c", bad, "full_file", "ok", 0.0),
+        (2, "other", bad, "hunk", "ok", 0.0),
+        (3, "c", text, "full_file", "skipped", 1.0),
+        (4, "c", None, "hunk", "skipped", 1.0),
+        (5, "c", bad + text, "full_file", "ok", 0.0),
+        (6, "c", gone, "full_file", "skipped", 1.0),
+        (7, "c", crash, "full_file", "ok", 1.0),
+        (8, "other", good, "hunk", "ok", 0.0),
+    ]
+    patches = spark.createDataFrame([(k, "r", c, p) for k, c, p, *_ in cases], PATCH)
+    bases = spark.createDataFrame([("r", "c", "f.py", base)], BASE)
+    verdicts = syntax.whole_file_verdicts(patches, bases, "key")
+    rows = {r["key"]: r for r in syntax.syntax_feedback(verdicts).collect()}
+    for key, _, _, method, status, score in cases:
+        assert (rows[key]["method"], rows[key]["status"], rows[key]["score"]) == (method, status, score), key
+    (error,) = rows[1]["errors"]
+    assert (error["file"], error["line"], error["offset"]) == ("f.py", 6, 12)
+    assert error["snippet"] == '           4       at all\n           5       """\n    -->    6       return (1'
+    assert rows[1]["feedback"].splitlines()[1] == "  - f.py: line 6, offset 12: '(' was never closed"
+    assert rows[0]["feedback"].endswith("no syntax errors detected")
+
+
+@pytest.mark.parametrize(
+    "source, ending",
+    [("x = 1", "fine"), ("  x = 1", "shifted"), ("x = = 1", "broken"), ("if x:\n  a\n b", "broken"), ("", "fine"), (" \tx\n\ty", "shifted")],
+)
+def test_reading_of_a_source(source, ending):
+    """An indentation error of the first line is told by its class: the messages of others never speak of indents there."""
+    found, error = syntax.read_source(source)
+    assert found == ending
+    if error is not None and error.lineno == 1:
+        assert ("indent" in error.msg.lower()) == isinstance(error, IndentationError)
