@@ -40,11 +40,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from runlens.llm import vocabulary
 from runlens.llm.common import text_of
 from runlens.llm.periodic import blocks
 from runlens.session import materialize
 
-A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+B = "piece_bpe_32k.model"
 #: Bytes of text that are encoded and merged together.
 BLOCK = 2 << 20
 #: Bytes of a text that one entry of the state vector walks through.
@@ -163,18 +164,41 @@ def written(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray,
     return stream[shown].tobytes(), np.cumsum(shown.sum(1))[place_b[cut_b]]
 
 
-def encode(texts: list[str | None], vocab_a: str, vocab_b: bytes) -> tuple[list[np.ndarray], tuple[Side, Side]]:
+class Vocabularies(NamedTuple):
+    """Contents of files: A, B, and if there is one A's ranks for a faster library."""
+
+    a: str
+    b: bytes
+    ranks: str | None
+
+
+def ids_by_ranks(text: str, tokenizer: Tokenizer, ranks: str) -> list[int]:
+    """Ids of A by the faster library; it gives up on some very long runs of blanks, which the other one takes."""
+    try:
+        found = vocabulary.encoding(ranks, vocabulary.PATTERN).encode_to_numpy(
+            text, allowed_special=set(), disallowed_special=()
+        )
+        return found.tolist()
+    except ValueError:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def encode(texts: list[str | None], files: Vocabularies) -> tuple[list[np.ndarray], tuple[Side, Side]]:
     """Ids of A and B and where each text starts in them; texts that don't come back have none."""
-    tokenizer, one = byte_level(vocab_a)
-    model, two = pieces(vocab_b)
+    tokenizer, one = byte_level(files.a)
+    model, two = pieces(files.b)
     here = [i for i, t in enumerate(texts) if t]
-    found_a = tokenizer.encode_batch_fast([" " + texts[i] for i in here], add_special_tokens=False)
+    if files.ranks is None:
+        spaced = [" " + texts[i] for i in here]
+        found_a = [e.ids for e in tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
+    else:
+        found_a = [ids_by_ranks(" " + texts[i], tokenizer, files.ranks) for i in here]
     found_b = model.encode([texts[i] for i in here], num_threads=1)
     ids: tuple[list, list] = ([], [])
     counts = np.zeros((2, len(texts)), dtype=np.int64)
     for i, a, b in zip(here, found_a, found_b):
         plain = (" " + texts[i]).encode()
-        pair = (a.ids, b)
+        pair = (a, b)
         if all(b"".join(map(s.tokens.__getitem__, x)) == plain for x, s in zip(pair, (one, two))):
             for k in range(2):
                 ids[k].append(np.array(pair[k], dtype=np.int64))
@@ -202,8 +226,8 @@ class Aligned(NamedTuple):
     groups: list[str]
 
 
-def align_texts(texts: list[str | None], vocab_a: str, vocab_b: bytes, stretch: int = STRETCH) -> Aligned:
-    (a, starts_a, b, starts_b), sides = encode(texts, vocab_a, vocab_b)
+def align_texts(texts: list[str | None], files: Vocabularies, stretch: int = STRETCH) -> Aligned:
+    (a, starts_a, b, starts_b), sides = encode(texts, files)
     cut_a, cut_b = merge(ends_of(a, starts_a, sides[0]), starts_a, ends_of(b, starts_b, sides[1]), starts_b, stretch)
     starts = np.searchsorted(cut_a, starts_a)
     text, ends = written(a, b, cut_a, cut_b, sides)
@@ -231,25 +255,31 @@ class Block:
         return places
 
 
+def vocabularies(vocab_a: str | None, vocab_b: str | None) -> Vocabularies:
+    """Read by the driver; the ranks are used with the vocabulary that they belong to only."""
+    return Vocabularies(
+        vocabulary.read(vocab_a),
+        Path(vocab_b or public_tokenizers.path(B)).read_bytes(),
+        vocabulary.read_ranks() if vocab_a is None else None,
+    )
+
+
 def encoded(
     docs: DataFrame,
     id_col: str,
     text_col: str,
-    vocab_a: str | None,
-    vocab_b: str | None,
+    files: Vocabularies,
     shown: Callable[[Column], Column],
 ) -> DataFrame:
     """Stored rows of two kinds: documents with their pairs as places in the block's list, and the lists.
 
     `block` names a task and one of its blocks. A row with `pair` is an entry of the list.
     """
-    content_a = Path(vocab_a or public_tokenizers.path(A)).read_text(encoding="utf-8")
-    content_b = Path(vocab_b or public_tokenizers.path(B)).read_bytes()
-    _, one = byte_level(content_a)
-    _, two = pieces(content_b)
+    _, one = byte_level(files.a)
+    _, two = pieces(files.b)
     if not (one.sizes.all() and two.sizes.all()):
         raise ValueError("a vocabulary has an empty token")
-    sent = docs.sparkSession.sparkContext.broadcast((content_a, content_b))
+    sent = docs.sparkSession.sparkContext.broadcast(files)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shift = len(two.tokens)
@@ -275,13 +305,12 @@ def encoded(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        content_a, content_b = sent.value
         number = TaskContext.get().partitionId() << 32
         block = Block()
         for batch in batches:
             sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
             for x, y in blocks(sizes, BLOCK):
-                found = align_texts(batch.column("text").slice(x, y - x).to_pylist(), content_a, content_b)
+                found = align_texts(batch.column("text").slice(x, y - x).to_pylist(), sent.value)
                 # Distinct pairs of each text, with their numbers.
                 text = np.repeat(np.arange(y - x), np.diff(found.starts))
                 order = np.lexsort((found.b, found.a, text))
@@ -354,7 +383,7 @@ def align(
     text, and `shown` says what is stored of it. `n_best` counts the links whose pair is the most
     frequent one of its B id in the corpus, `count_sum` adds up the links' corpus counts.
     """
-    rows = encoded(docs, id_col, text_col, vocab_a, vocab_b, shown)
+    rows = encoded(docs, id_col, text_col, vocabularies(vocab_a, vocab_b), shown)
     entries = rows.where("place is not null").select("block", "place", "a", "b", "n")
     lookup = entries.join(pair_counts(entries), ["a", "b"]).select(
         F.col("block").alias("in_block"), "place", "count", F.col("best").cast("long").alias("best")
@@ -367,5 +396,5 @@ def align(
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_a: str | None = None, vocab_b: str | None = None) -> DataFrame:
     """The table of linked ids over all documents: a, b, count, best."""
-    rows = encoded(docs, id_col, text_col, vocab_a, vocab_b, lambda groups: F.lit(None).cast("string"))
+    rows = encoded(docs, id_col, text_col, vocabularies(vocab_a, vocab_b), lambda groups: F.lit(None).cast("string"))
     return pair_counts(rows.where("place is not null"))

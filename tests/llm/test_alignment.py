@@ -8,14 +8,15 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from runlens.llm import alignment
+from runlens.llm import alignment, vocabulary
 from tokenizers import Tokenizer
 from tokenizers.decoders import ByteLevel
 
-VOCAB_A = open(public_tokenizers.path(alignment.A), encoding="utf-8").read()
+VOCAB_A = vocabulary.read()
 VOCAB_B = open(public_tokenizers.path(alignment.B), "rb").read()
 TOKENIZER = Tokenizer.from_str(VOCAB_A)
 TOKENIZER.encode_special_tokens = True
+FILES = alignment.vocabularies(None, None)
 MODEL = sentencepiece.SentencePieceProcessor(model_proto=VOCAB_B)
 CHARS = {}
 
@@ -74,9 +75,9 @@ TEXTS = st.text(
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(TEXTS, st.none()), max_size=6), st.sampled_from([1, 2, 7, 1024]))
-def test_blocks_of_texts_against_brute_force(texts, stretch):
-    got = alignment.align_texts(texts, VOCAB_A, VOCAB_B, stretch)
+@given(st.lists(st.one_of(TEXTS, st.none()), max_size=6), st.sampled_from([1, 2, 7, 1024]), st.sampled_from([FILES, FILES._replace(ranks=None)]))
+def test_blocks_of_texts_against_brute_force(texts, stretch, files):
+    got = alignment.align_texts(texts, files, stretch)
     for i, text in enumerate(texts):
         a, b, links, groups = plain(text)
         cut = slice(got.starts[i], got.starts[i + 1])
@@ -137,3 +138,10 @@ def test_token_bytes_are_the_decoders():
     whole = [i for i in range(0, 50256, 7) if "�" not in decode([TOKENIZER.id_to_token(i)])]
     assert len(whole) > 6000
     assert all(one.tokens[i] == decode([TOKENIZER.id_to_token(i)]).encode() for i in whole)
+
+
+def test_a_run_of_blanks_that_the_faster_library_gives_up_on():
+    text = "a" + " " * 1_200_000 + "b"
+    got = alignment.align_texts([text, "c d"], FILES)
+    want = alignment.align_texts([text, "c d"], FILES._replace(ranks=None))
+    assert got.n_a.tolist() == want.n_a.tolist() and got.groups == want.groups and got.n_a[0] > 1
