@@ -68,8 +68,9 @@ def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     source, target = work_path(spark, "progress-in"), work_path(spark, "progress")
     _write_results(spark, sf, source)
     total = fx.table(spark, sf, "customer").count()
-    rows = ledger.progress(ledger.stream_results(spark, source, schema), total)
-    ledger.run_progress(rows, target, work_path(spark, "progress-cp")).awaitTermination()
-    return ledger.read_progress(spark, target).select(
+    results = ledger.stream_results(spark, source, schema, files_per_trigger=2)
+    checkpoint = work_path(spark, "progress-cp")
+    ledger.run_ledger(results, target, checkpoint, schema, sums=ledger.progress_sums()).awaitTermination()
+    return ledger.ledger_progress(spark, target, total).select(
         "done", "total", "resolved_any", F.round("avg_resolve_rate", 6).alias("avg_resolve_rate")
     )
