@@ -4,8 +4,8 @@ Values are counted per distinct value. The ranks that percentiles need are then
 found along the 64 bits of a double, 16 at a time: a pass counts rows per next
 prefix below the prefixes that still hold a wanted rank, and keeps the ones that
 do. Only counts are shuffled, every pass is a partial aggregate, and a window
-never sees more than 65536 counts, however the values are concentrated. All of it is one
-lazy plan.
+never sees more than 65536 counts, however the values are concentrated. The distinct
+values are stored once with their bits, since every pass reads them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.session import materialize
+
 PERCENTILES = (10, 25, 50, 75, 90)
 STEP_BITS = 16
 # The layout of a double: 52 bits of fraction, the exponent with this bias, least normal value 2**-1022.
@@ -80,6 +82,8 @@ def weighted_stats(
     def attach(table: DataFrame) -> DataFrame:
         return F.broadcast(table) if small_groups else table
 
+    code = F.when(F.col("weight") > 0, ordered_bits(F.col("value"))).alias("code")
+    counted = materialize(counted.select(*groups, "value", "weight", code), "values")
     v, w = F.col("value"), F.col("weight")
     moments = counted.groupBy(*groups).agg(
         F.sum("weight").alias("n"),
@@ -103,7 +107,7 @@ def weighted_stats(
             p -> array(floor({at}), ceil({at}))))), r -> named_struct('rank', r, 'before', 0L))"""
         ).alias("ranks"),
     )
-    coded = counted.where("weight > 0").select(*groups, ordered_bits(v).alias("code"), "weight")
+    coded = counted.where("weight > 0").select(*groups, "code", "weight")
     for shift in range(64 - STEP_BITS, -1, -STEP_BITS):
         wanted = _next_prefix(coded, attach(wanted), groups, shift)
     found = wanted.select(*groups, from_ordered_bits(F.col("prefix")).alias("value"), F.explode("ranks").alias("r"))
