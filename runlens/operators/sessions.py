@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.actions import format_observation, parse_tool_call, submission_sentinel
 from runlens.functions.text import py_strip
+from runlens.operators import automaton
 from runlens.operators.running import running
 from runlens.schemas import EPISODE_REASONS
 
@@ -284,6 +285,23 @@ def episode_reason(steps: DataFrame, reason: str = "reason", position: str = "st
     )
 
 
+def _read_steps(
+    steps: DataFrame, tokens: Callable[[Column], Column], nudge_tokens: int, max_chars: int
+) -> DataFrame:
+    """Steps with what their command is, and the tokens of the action and of its answer."""
+    call = parse_tool_call(F.col("action"))
+    parsed = steps.withColumn("_call", call).withColumns(
+        {
+            "_submits": F.col("_call.type") == "submit",
+            "_blank": (F.col("_call.type") != "submit") & (F.length(py_strip(F.col("_call.content"))) == 0),
+            "_said": tokens(F.col("action")).cast("bigint"),
+            "_seen": tokens(format_observation(F.col("stdout"), F.col("returncode"), max_chars)).cast("bigint"),
+        }
+    )
+    answer = F.when(F.col("_blank"), F.lit(nudge_tokens)).otherwise(F.coalesce("_seen", F.lit(0))).cast("bigint")
+    return parsed.withColumn("_answer", answer)
+
+
 def episode_result(
     steps: DataFrame,
     tokens: Callable[[Column], Column],
@@ -304,18 +322,8 @@ def episode_result(
     answered by a nudge of `nudge_tokens`, any other by its observation.
     Episodes end at the first step with a reason; steps recorded behind it don't count.
     """
-    call = parse_tool_call(F.col("action"))
-    parsed = steps.withColumn("_call", call).withColumns(
-        {
-            "_submits": F.col("_call.type") == "submit",
-            "_blank": (F.col("_call.type") != "submit") & (F.length(py_strip(F.col("_call.content"))) == 0),
-            "_said": tokens(F.col("action")).cast("bigint"),
-            "_seen": tokens(format_observation(F.col("stdout"), F.col("returncode"), max_chars)).cast("bigint"),
-        }
-    )
-    answer = F.when(F.col("_blank"), F.lit(nudge_tokens)).otherwise(F.coalesce("_seen", F.lit(0))).cast("bigint")
     before = running(
-        parsed.withColumn("_answer", answer),
+        _read_steps(steps, tokens, nudge_tokens, max_chars),
         ["session_id"],
         "step",
         {
@@ -342,6 +350,72 @@ def episode_result(
     named = before.select(
         "session_id", "step", "elapsed", "_said", "_answer", used.alias("_used"), F.coalesce(early, reason).alias("reason")
     )
+    return _episode_ends(named)
+
+
+def episode_scan(
+    steps: DataFrame,
+    tokens: Callable[[Column], Column],
+    max_len: int = 16384,
+    max_steps: int = 100,
+    timeout: float | None = None,
+    max_errors: int = 3,
+    initial_tokens: int = 0,
+    nudge_tokens: int = 0,
+    max_chars: int = 10000,
+    chunk: int = automaton.CHUNK,
+) -> DataFrame:
+    """The same as `episode_result`, by one scan of an automaton over each episode's steps.
+
+    States 0 ... max_errors are the streak of blank commands, the others the reasons that have ended the
+    episode. The tokens spent before a step are summed in the same scan.
+    """
+    read = _read_steps(steps, tokens, nudge_tokens, max_chars)
+    reasons = {name: max_errors + 1 + i for i, name in enumerate(EPISODE_REASONS)}
+    states = max_errors + 1 + len(reasons)
+    live = range(max_errors + 1)
+
+    def ends(reason: str) -> Column:
+        return automaton.transition(states, {s: reasons[reason] for s in live})
+
+    late = F.lit(False) if timeout is None else F.col("elapsed") >= timeout
+    longer = {s: s + 1 if s < max_errors else reasons["format_error"] for s in live}
+    last = F.col("step") == max_steps - 1
+    # In the order of `step_reason`; a step that does not end is the last one allowed or goes on.
+    blank = F.when(last, automaton.transition(states, {s: reasons["max_steps"] if s < max_errors else longer[s] for s in live}))
+    step = (
+        F.when(late, ends("timeout"))
+        .when(F.coalesce("failed", F.lit(False)), ends("error"))
+        .when(F.col("_submits"), ends("submit"))
+        .when(F.col("_blank"), F.coalesce(blank, automaton.transition(states, longer)))
+        .when(submission_sentinel(F.col("stdout")).isNotNull(), ends("submit"))
+        .when(last, ends("max_steps"))
+        .otherwise(automaton.transition(states, {s: 0 for s in live}))
+    )
+    seen = automaton.scan(
+        read,
+        ["session_id"],
+        "step",
+        step,
+        states,
+        amounts={"_spent": F.col("_said") + F.col("_answer")},
+        columns=["elapsed", "_said", "_answer"],
+        chunk=chunk,
+    )
+    used = F.col("_spent") + initial_tokens
+    timed_out = F.lit(False) if timeout is None else F.col("elapsed") >= timeout
+    names = F.array(*[F.lit(r) for r in EPISODE_REASONS])
+    ended = F.when(F.col("after") > max_errors, F.get(names, F.col("after") - (max_errors + 1)))
+    # The budget is tested behind the time and before the rest; a step behind an end was never made.
+    reason = F.when(~timed_out & (used >= max_len), F.lit("token_limit")).otherwise(ended)
+    made = seen.where(F.col("before") <= max_errors)
+    return _episode_ends(
+        made.select("session_id", "step", "elapsed", "_said", "_answer", used.alias("_used"), reason.alias("reason"))
+    )
+
+
+def _episode_ends(named: DataFrame) -> DataFrame:
+    """Figures of each episode from its steps: step, elapsed, _said, _answer, _used before it, and a reason if it ends there."""
     unmade = F.col("reason").isin("timeout", "token_limit", "error")
     unanswered = F.col("reason").isin("submit", "format_error")
     total = F.col("_used") + F.when(unmade, 0).otherwise(F.col("_said")) + F.when(unmade | unanswered, 0).otherwise(

@@ -237,9 +237,7 @@ def episode_reason(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.episode_reason(steps)
 
 
-@query(
-    "episode_result",
-    r"""
+EPISODE_SQL = r"""
 with t as (select session_id, turn as step, text, length(text) as n, turn * 10 + length(text) % 10 as elapsed from turns),
 a as (select *, n % 13 = 0 as submits, n % 13 <> 0 and n % 11 < 4 as blank, n % 31 = 0 as failed, n % 7 = 0 as done from t),
 b as (select *, case when submits then concat(text, ' <submit/>') when blank then concat('<bash> </bash> ', text)
@@ -261,9 +259,10 @@ select session_id, case when reason in ('timeout', 'token_limit', 'error') then
  used + case when reason in ('timeout', 'token_limit', 'error') then 0 else said end
   + case when reason in ('timeout', 'token_limit', 'error', 'submit', 'format_error') then 0 else answer end as total_tokens,
  coalesce(reason, 'max_steps') as reason, elapsed as seconds from f where place = 1
-""",
-)
-def episode_result(spark: SparkSession, sf: str) -> DataFrame:
+"""
+
+
+def _recorded_steps(spark: SparkSession, sf: str) -> DataFrame:
     """Each message is an action or its output, whole, with tags that its length chooses."""
     n, text = F.length("text"), F.col("text")
     submits, blank = n % 13 == 0, n % 11 < 4
@@ -273,7 +272,7 @@ def episode_result(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("<bash> "), text, F.lit(" </bash>")))
     )
     done = F.when(n % 7 == 0, "ok\nCOMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT\n").otherwise("")
-    steps = fx.turns(spark, sf).select(
+    return fx.turns(spark, sf).select(
         "session_id",
         F.col("turn").alias("step"),
         action.alias("action"),
@@ -282,9 +281,22 @@ def episode_result(spark: SparkSession, sf: str) -> DataFrame:
         (n % 31 == 0).alias("failed"),
         (F.col("turn") * 10 + n % 10).alias("elapsed"),
     )
-    return sessions.episode_result(
-        steps, word_count, max_len=400, max_steps=4, timeout=55, max_errors=1, initial_tokens=40, nudge_tokens=9
-    )
+
+
+EPISODE_LIMITS = {
+    "max_len": 400, "max_steps": 4, "timeout": 55, "max_errors": 1, "initial_tokens": 40, "nudge_tokens": 9
+}
+
+
+@query("episode_result", EPISODE_SQL)
+def episode_result(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.episode_result(_recorded_steps(spark, sf), word_count, **EPISODE_LIMITS)
+
+
+@query("episode_scan", EPISODE_SQL)
+def episode_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same episodes by the automaton, in chunks so short that most of them carry over."""
+    return sessions.episode_scan(_recorded_steps(spark, sf), word_count, **EPISODE_LIMITS, chunk=3)
 
 
 @query(
