@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.operators import bloom, joins, sets
 from runlens.operators import images as im
-from runlens.operators import joins, sets
 from runlens.operators.scoring import join_weights, latest_verdicts
 from runlens.plans.registry import query
 from runlens.sources import fixtures as fx
@@ -75,6 +75,19 @@ def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
     return joins.resume_pending(rows, fx.predictions(spark, sf))
 
 
+@query(
+    "resume_pending_filtered",
+    """
+select instance_id, repo, seq from instances i
+where not exists (select 1 from predictions p where p.instance_id = i.instance_id)
+""",
+)
+def resume_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same anti-join by a Bloom filter of the finished ids."""
+    rows = fx.instances(spark, sf).select("instance_id", "repo", "seq")
+    return bloom.without(rows, fx.predictions(spark, sf))
+
+
 @query(
     "resume_pending_retry_errors",
     """
