@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from runlens.operators.syntax import (
     syntax_verdicts,
     whole_file_verdicts,
 )
+from runlens.operators.verifiers import verifier
 from runlens.plans.registry import query
 from runlens.sources import fixtures as fx
 
@@ -263,3 +266,32 @@ from t where bad
 def whole_file_errors(spark: SparkSession, sf: str) -> DataFrame:
     verdicts = whole_file_verdicts(fx.stored_patches(spark, sf), fx.stored_files(spark, sf), "doc_id")
     return syntax_reports(verdicts, "doc_id").select("doc_id", "file", "line", "offset", "message", "snippet")
+
+
+def _count_lines(row: dict) -> float:
+    """A check that fails on some rows in the ways a check can fail."""
+    if row["doc_id"] % 499 == 0:
+        time.sleep(60)
+    if row["doc_id"] % 17 == 0:
+        raise ValueError(f"no verdict on {row['doc_id']}")
+    return min(1.0, (row["text"] or "").count("\n") / 8)
+
+
+@query(
+    "verifier_harness",
+    """
+select doc_id, 'line_check' as name, case when doc_id % 499 = 0 then 'timeout' when doc_id % 17 = 0 then 'error' else 'ok' end as status,
+ case when doc_id % 499 = 0 or doc_id % 17 = 0 then 0.0::double else score end as score, 0.5::double as pass_threshold,
+ doc_id % 499 <> 0 and doc_id % 17 <> 0 and score >= 0.5 as passed,
+ case when doc_id % 499 = 0 then null when doc_id % 17 = 0 then concat('ValueError: no verdict on ', doc_id) end as error
+from (select doc_id, least(1.0::double, (length(text) - length(replace(text, chr(10), ''))) / 8.0::double) as score from documents)
+""",
+)
+def verifier_harness(spark: SparkSession, sf: str) -> DataFrame:
+    """A check over whole texts that raises on some documents and never comes back on others."""
+    check = verifier("line_check", _count_lines, key="doc_id", timeout=1.0, pass_threshold=0.5)
+    verdicts = check(fx.table(spark, sf, "documents").select("doc_id", "text").asTable())
+    said = F.concat_ws(": ", F.col("details")["error_type"], F.col("details")["error"])
+    return verdicts.select(
+        "doc_id", "name", "status", "score", "pass_threshold", "passed", F.when(F.col("status") == "error", said).alias("error")
+    )
