@@ -112,7 +112,10 @@ def traverse(vectors: np.ndarray, index: Index) -> tuple[np.ndarray, list[np.nda
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaled by powers of two first, so that no square leaves the range of doubles."""
     vectors = vectors.astype(np.float64)
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    vectors = np.ldexp(vectors, -exponent)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -129,8 +132,7 @@ def stored(rows: DataFrame, id_col: str, vector_col: str, dtype: str) -> DataFra
                 good = items is not None and len(items) > 0 and not items.null_count
                 if good:
                     vector = items.to_numpy(zero_copy_only=False).astype(dtype) + 0.0
-                    length = np.linalg.norm(vector.astype(np.float64))
-                    good = bool(np.isfinite(length) and length > 0)
+                    good = bool(np.isfinite(vector).all() and vector.any())
                 raw = vector.astype(dtype).tobytes() if good else None
                 dims.append(len(items) if good else 0)
                 data.append(raw)

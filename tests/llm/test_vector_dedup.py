@@ -123,3 +123,16 @@ def test_each_length_has_its_links(spark):
         ids = [v for v, e in rows if len(e) == dim]
         assert sum(got[v][0] for v in ids) >= 0.97 * sum(want[v][0] for v in ids) > 0
     assert all(got[v] == want[v] for v, e in rows if len(e) < 16)
+
+
+def test_finite_vectors_of_any_size_are_linked(spark):
+    """Squares of these components are no doubles any more, or zero."""
+    rows = [
+        (1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 0.0]), (4, [1e-200, 0.0]), (5, [5e-324, 0.0]),
+        (6, [1.7e308, 1.6e308]), (7, [-1e200, 1e200]), (8, [0.0, 0.0]), (9, [float("inf"), 1.0]), (10, [3.0, 0.01]),
+    ]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(docs).collect()}
+    one, two = {1, 2, 6}, {3, 4, 5, 10}
+    want = {i: (len(c) - 1, min(c)) for c in (one, two) for i in c} | {i: (0, i) for i in (7, 8, 9)}
+    assert got == want
