@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.verdicts import unit_test_feedback as unit_test_feedback_column
-from runlens.operators import reports, signals
+from runlens.operators import reports, signals, sketches
 from runlens.operators.quantiles import distribution_stats
 from runlens.operators.sampling import top_failures
 from runlens.operators.sessions import session_replay
 from runlens.plans.registry import query
+from runlens.session import work_path
 from runlens.sources import fixtures as fx
 
 SIGNAL = "case when n_resolved = 0 then 'always_fail' when n_resolved = n_runs then 'always_pass' else 'mixed' end"
@@ -403,3 +404,23 @@ def unit_test_feedback(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n % 2 == 0, "pod lost"),
     )
     return grouped.select("instance_id", feedback.alias("feedback"))
+
+
+@query(
+    "sketched_distribution",
+    """
+select o_orderstatus as status, count(*) as n, round(avg(o_totalprice), 4) as mean, min(o_totalprice) as min, max(o_totalprice) as max,
+ 5::bigint as within from orders group by o_orderstatus
+""",
+)
+def sketched_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Run times by status from stored sketches per month, the last years added later; `within` counts the percentiles whose exact rank is near."""
+    orders = fx.table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "status")
+    path, percents = work_path(spark, "sketches"), (10, 25, 50, 75, 90)
+    late = F.year("o_orderdate") >= 1996
+    for part in (orders.where(~late), orders.where(late)):
+        sketches.store_days(sketches.daily_sketches(part, F.trunc("o_orderdate", "month"), ["status"], "o_totalprice"), path)
+    found = sketches.merged_distribution(sketches.read_days(spark, path), ["status"])
+    gaps = sketches.rank_gaps(orders, found, ["status"], "o_totalprice", percents)
+    near = gaps.groupBy("status").agg(F.count_if(F.col("gap") <= 3 * sketches.rank_error()).alias("within"))
+    return found.join(near, "status").select("status", "n", F.round("mean", 4).alias("mean"), "min", "max", "within")
