@@ -9,6 +9,8 @@ from runlens.operators import bloom, joins, sets
 from runlens.operators import images as im
 from runlens.operators.scoring import join_weights, latest_verdicts
 from runlens.plans.registry import query
+from runlens.session import work_path
+from runlens.sources import buckets
 from runlens.sources import fixtures as fx
 from runlens.sources.readers import load_prompt_map
 from runlens.sources.writers import merge_predictions
@@ -310,3 +312,27 @@ def dedup_results(spark: SparkSession, sf: str) -> DataFrame:
         F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("seq"),
     )
     return latest_verdicts(rows, ["v3", "v1", "v2"], "seq")
+
+
+@query(
+    "bucketed_joins",
+    """
+select i.instance_id, i.repo, p.text_inputs as prompt, case when p.text_inputs is null then 'No prompt found for instance' end as error,
+ g.resolved, g.instance_id is not null as done
+from instances i left join prompt_map p on p.instance_id = i.instance_id left join predictions g on g.instance_id = i.instance_id
+""",
+)
+def bucketed_joins(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts and grades joined to the instances, all three stored once by buckets."""
+    tables = {
+        "instances": fx.instances(spark, sf).select("instance_id", "repo"),
+        "prompts": _prompt_map(spark, sf),
+        "graded": fx.predictions(spark, sf).select("instance_id", "resolved").withColumn("done", F.lit(True)),
+    }
+    stored = {}
+    for name, rows in tables.items():
+        path = work_path(spark, f"buckets-{name}")
+        buckets.write_buckets(rows, path, 8)
+        stored[name] = buckets.read_buckets(spark, path, 8, rows.schema)
+    with_prompts = joins.join_prompts(stored["instances"], stored["prompts"])
+    return with_prompts.join(stored["graded"], "instance_id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
