@@ -10,13 +10,24 @@ A null source is a source of its own. Sources whose texts are all empty have
 the rate 1. Null text counts as empty. Documents without an id draw by their
 text; repeated rows draw the same number. Weights that name no source of the
 table have no effect; a source that isn't named gets the weight 0. An empty
-table gives no rows.
+table gives no rows. The documents' own columns travel as one struct, so their names can't clash.
+
+Up to TABLE_RATE a source has a table of its distribution, of bounded size. Above, a document's number is found
+in a window of the distribution about as wide as 24 deviations, and its copies are dealt out in
+ranges of RANGE before they are made, so that no task makes all copies of a document.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from runlens.llm.common import gapless, text_of
 from runlens.operators.skew import join_summary
@@ -24,8 +35,12 @@ from runlens.session import materialize
 
 TEMPERATURE = 0.5
 SEED = 42
-#: Sources whose rates are broadcast; more of them are joined by key.
-FEW_SOURCES = 10_000
+#: Sources whose tables are broadcast (at most 700 numbers each); more of them are joined by key.
+FEW_SOURCES = 2_000
+TABLE_RATE = 400.0
+RANGE = 10_000
+#: Above this rate the window would be too wide; the number is then a normal quantile, right to a deviation's hundred-thousandth.
+WINDOW_RATE = 1e10
 BITS = 52
 #: Copies that share a bucket of the global order, about.
 BUCKET_ROWS = 1000
@@ -63,6 +78,32 @@ def poisson_steps(rate: Column) -> Column:
     return F.when(rate > 0, steps).otherwise(F.array(F.lit(1 << BITS)))
 
 
+@lru_cache(maxsize=4)
+def window(rate: float) -> tuple[int, np.ndarray]:
+    """First k and 2^52 P(X <= k) from there on, for all k that matter."""
+    wide = 12 * math.sqrt(rate) + 30
+    first = max(0, math.floor(rate - wide))
+    k = np.arange(first + 1, math.ceil(rate + wide) + 1)
+    start = first * math.log(rate) - rate - math.lgamma(first + 1)
+    logs = np.concatenate([[start], start + np.cumsum(np.log(rate) - np.log(k))])
+    # What the logarithms have lost over many steps is taken back: all but nothing lies in the window.
+    sums = np.cumsum(np.exp(logs))
+    return first, np.floor(sums / sums[-1] * float(1 << BITS)).astype(np.int64)
+
+
+def inverse(rate: float, draw: int) -> int:
+    """The least k with draw < 2^52 P(X <= k)."""
+    if rate > WINDOW_RATE:
+        return max(0, round(NormalDist(rate, math.sqrt(rate)).inv_cdf((draw + 0.5) / (1 << BITS))))
+    first, sums = window(rate)
+    return first + int(np.searchsorted(sums, draw, side="right"))
+
+
+@F.pandas_udf(LongType())
+def _inverse(rate: pd.Series, draw: pd.Series) -> pd.Series:
+    return pd.Series([inverse(r, d) for r, d in zip(rate.tolist(), draw.tolist())], dtype="int64")
+
+
 def rates(
     docs: DataFrame,
     source_col: str = "source",
@@ -110,25 +151,30 @@ def replicate(
 ) -> DataFrame:
     """Each row of `docs` as a struct `doc`, as often as drawn, with `copy` (from 1) and `order` (below 2^52)."""
     steps = materialize(
-        rates(docs, source_col, text_col, **target).select("key", "rows", poisson_steps(F.col("rate")).alias("steps")),
+        rates(docs, source_col, text_col, **target).select(
+            "key", "rows", "rate", F.when(F.col("rate") <= TABLE_RATE, poisson_steps(F.col("rate"))).alias("steps")
+        ),
         "rates",
     )
-    # The documents' own columns travel as one, so no name can clash.
     drawn = docs.select(
         F.struct("*").alias("doc"),
         source_key(source_col).alias("key"),
         identity(id_col, text_col).alias("name"),
     ).withColumn("draw", uniform(str(seed), F.col("name")))
     if steps.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
-        joined = drawn.join(F.broadcast(steps.select("key", "steps")), "key")
+        joined = drawn.join(F.broadcast(steps.select("key", "rate", "steps")), "key")
     else:
         joined = join_summary(drawn, steps, "key", "rows")
-    return (
-        joined.withColumn("copies", F.size(F.filter("steps", lambda s: s <= F.col("draw"))))
-        .where("copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select("doc", "copy", uniform(str(seed), F.lit("order"), F.col("name"), F.col("copy").cast("string")).alias("order"))
-    )
+    few = joined.where("steps is not null").withColumn("copies", F.size(F.filter("steps", lambda s: s <= F.col("draw"))))
+    copied = few.where("copies > 0").select("doc", "name", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    if steps.where(F.col("rate") > TABLE_RATE).limit(1).count():
+        many = joined.where("steps is null").withColumn("copies", _inverse("rate", "draw").cast("int")).where("copies > 0")
+        begins = F.sequence(F.lit(1), F.col("copies"), F.lit(RANGE))
+        dealt = many.select("doc", "name", "copies", F.explode(begins).alias("begin")).repartition("name", "begin")
+        upto = F.least(F.col("begin") + (RANGE - 1), F.col("copies"))
+        copied = copied.unionAll(dealt.select("doc", "name", F.explode(F.sequence(F.col("begin"), upto)).alias("copy")))
+    order = uniform(str(seed), F.lit("order"), F.col("name"), F.col("copy").cast("string"))
+    return copied.select("doc", "copy", order.alias("order"))
 
 
 def mix(docs: DataFrame, **target: object) -> DataFrame:

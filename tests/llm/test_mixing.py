@@ -1,5 +1,7 @@
 import hashlib
 import math
+import random
+import time
 from collections import Counter
 
 import llm_rows
@@ -72,3 +74,37 @@ def test_many_sources_take_the_shuffled_join(spark, monkeypatch):
     want = sorted(mixing.positions(docs).collect(), key=repr)
     monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
     assert sorted(mixing.positions(docs).collect(), key=repr) == want
+
+
+def test_windows_against_plain_sums():
+    rng = random.Random(7)
+    for rate in (401.0, 733.3, 5000.5):
+        sums, total = [], 0.0
+        for k in range(int(rate + 14 * rate**0.5 + 40)):
+            total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+            sums.append(total)
+        for draw in [0, 2**52 - 1, *(rng.randrange(2**52) for _ in range(300))]:
+            got = mixing.inverse(rate, draw)
+            near = (draw + 0.5) / 2**52
+            # Equal but for draws nearer to a step than the sums are exact.
+            assert (got == 0 or sums[got - 1] <= near + 1e-11) and (sums[min(got, len(sums) - 1)] >= near - 1e-11)
+
+
+def test_very_large_rates_take_seconds():
+    start = time.time()
+    for rate in (1e7, 1e9, 1e12):
+        drawn = [mixing.inverse(rate, (2**52 // 1000) * i) for i in range(1, 1000)]
+        mean = sum(drawn) / len(drawn)
+        assert drawn == sorted(drawn) and abs(mean - rate) < 0.1 * rate**0.5
+        assert abs(mixing.inverse(rate, 2**51) - rate) < 2 + 1e-4 * rate**0.5
+    assert time.time() - start < 30
+
+
+def test_copies_of_one_document_are_made_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 50)
+    rows = [(1, "x", "small"), (2, "y" * 5000, "big"), (3, "z", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.positions(docs, weights={"small": 1, "big": 1}).collect()
+    want = copies(2501.0, 1)
+    assert sorted(r["copy"] for r in got if r["id"] == 1) == list(range(1, want + 1))
+    assert sorted(r["position"] for r in got) == list(range(len(got)))
