@@ -109,7 +109,8 @@ def weighted_stats(
     )
     coded = counted.where("weight > 0").select(*groups, "code", "weight")
     for shift in range(64 - STEP_BITS, -1, -STEP_BITS):
-        wanted = _next_prefix(coded, attach(wanted), groups, shift)
+        # Stored, since the next pass reads it twice.
+        wanted = materialize(_next_prefix(coded, attach(wanted), groups, shift), "ranks")
     found = wanted.select(*groups, from_ordered_bits(F.col("prefix")).alias("value"), F.explode("ranks").alias("r"))
     # At most two entries per percentile.
     ranked = found.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("r.rank", "value"))).alias("_at"))
@@ -132,11 +133,12 @@ def _next_prefix(coded: DataFrame, wanted: DataFrame, groups: list[str], shift:
     # Before the first step there is one prefix, 0, for all codes.
     earlier = F.shiftright("code", shift + STEP_BITS) if shift + STEP_BITS < 64 else F.lit(0).cast("bigint")
     below = coded.select(*groups, earlier.alias("prefix"), F.shiftright("code", shift).alias("next"), "weight")
-    sizes = below.join(wanted, [*groups, "prefix"]).groupBy(*groups, "prefix", "ranks", "next").agg(
+    # The ranks are joined behind the aggregate, whose keys are then plain numbers and names.
+    sizes = below.join(wanted.select(*groups, "prefix"), [*groups, "prefix"]).groupBy(*groups, "prefix", "next").agg(
         F.sum("weight").alias("size")
     )
     within = Window.partitionBy(*groups, "prefix").orderBy("next").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sizes.withColumn("first", F.sum("size").over(within) - F.col("size"))
+    placed = sizes.withColumn("first", F.sum("size").over(within) - F.col("size")).join(wanted, [*groups, "prefix"])
     held = F.expr(
         """transform(filter(ranks, r -> r.rank >= r.before + first and r.rank < r.before + first + size),
         r -> named_struct('rank', r.rank, 'before', r.before + first))"""
