@@ -193,6 +193,13 @@ def free_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("syntax_free_text_verdicts")
+def free_text_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the parser says to each patch of prose; no SQL can say it, a test compares it with a plain parse."""
+    verdicts = syntax_verdicts(syntax_checked(fx.patches(spark, sf)), "doc_id")
+    return verdicts.select("doc_id", "name", "status", "score", "files_checkable", "files_parsed", "files_errored")
+
+
 # What the patches of the stored files must lead to, from the documents alone. Hunk by hunk, the
 # broken hunk is lost where a git header follows it.
 STORED = r"""
