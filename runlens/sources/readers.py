@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import fnmatch
+import json
+import os
+from collections.abc import Iterable, Iterator
+
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,20 +69,69 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 def read_prediction_tree(
     spark: SparkSession, root: str, file_name: str = "prediction.json"
 ) -> DataFrame:
-    """Every readable prediction file below `root` that names its instance."""
+    """Every readable prediction file below `root` that names its instance.
+
+    A tree on a mounted disk is listed and read by tasks, since Spark's file reader keeps a
+    list of all files in the driver and makes a task of every few; other stores are left to it.
+    """
     full = T.StructType([*PREDICTION.fields, T.StructField(CORRUPT, T.StringType())])
-    files = (
+    reader = (
         spark.read.schema(full)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", file_name)
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(root)
     )
+    mounted = _mounted(spark, root)
+    files = reader.json(root if mounted is None else _tree_texts(spark, mounted, file_name))
     return files.where(_usable("instance_id")).select(*PREDICTION.fieldNames())
 
 
+def _mounted(spark: SparkSession, root: str) -> str | None:
+    """The path of an existing folder on a mounted disk, null for other stores and for patterns."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(conf)
+    if system.getUri().getScheme() != "file" or not system.exists(folder):
+        return None
+    return system.makeQualified(folder).toUri().getPath()
+
+
+def _tree_texts(spark: SparkSession, root: str, file_name: str) -> RDD[str]:
+    """Texts of the files below `root` with this name: one task names the folders, all tasks read them."""
+
+    def entries(roots: Iterable[str]) -> Iterator[str]:
+        for top in roots:
+            with os.scandir(top) as found:
+                yield from (entry.path for entry in found)
+
+    def failed(error: OSError) -> None:
+        raise error
+
+    def paths(top: str) -> Iterator[str]:
+        if not os.path.isdir(top):
+            walked = [(os.path.dirname(top), [], [os.path.basename(top)])]
+        else:
+            walked = os.walk(top, onerror=failed, followlinks=True)
+        for folder, _, names in walked:
+            yield from (os.path.join(folder, name) for name in fnmatch.filter(names, file_name))
+
+    def texts(tops: Iterable[str]) -> Iterator[str]:
+        for top in tops:
+            for path in paths(top):
+                with open(path, "rb") as file:
+                    raw = file.read()
+                try:
+                    yield raw.decode(json.detect_encoding(raw))
+                except UnicodeDecodeError:  # not readable
+                    continue
+
+    context = spark.sparkContext
+    tops = context.parallelize([root], 1).mapPartitions(entries)
+    return tops.repartition(4 * context.defaultParallelism).mapPartitions(texts)
+
+
 def with_line_order(lines: DataFrame) -> DataFrame:
     """Adds `seq`, the place of a row in its input files, for rows read from files."""
     return lines.withColumn(

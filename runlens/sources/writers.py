@@ -73,8 +73,10 @@ def write_prediction_tree(predictions: DataFrame, root: str, file_name: str = "p
     """One <root>/<instance_id>/<file_name> per row of (instance_id, value).
 
     The layout that other tools expect, for exports: a file per row, written by
-    the task that holds the row. A row that is written again replaces its file.
+    the task that holds the row; ids are dealt out, since rows that take much longer to
+    write than to read may come in very few partitions. A row that is written again replaces its file.
     """
+    parts = 4 * predictions.sparkSession.sparkContext.defaultParallelism
 
     def write(rows: Iterator[Row]) -> None:
         system, top = fs.FileSystem.from_uri(root)
@@ -84,4 +86,5 @@ def write_prediction_tree(predictions: DataFrame, root: str, file_name: str = "p
             with system.open_output_stream(f"{folder}/{file_name}") as out:
                 out.write(row["value"].encode())
 
-    predictions.select("instance_id", "value").foreachPartition(write)
+    dealt = predictions.select("instance_id", "value").repartition(parts, "instance_id")
+    dealt.foreachPartition(write)

@@ -64,6 +64,41 @@ def test_prediction_tree(spark, tmp_path):
     assert [(r.instance_id, r.model_patch) for r in got] == [("a", "p\nq")]
 
 
+def test_large_prediction_tree(spark, tmp_path):
+    """Neither the driver's list nor the number of tasks grows with the files; ids are written by many tasks."""
+    rows = spark.range(3000, numPartitions=1).selectExpr(
+        "cast(id as string) as instance_id",
+        "to_json(struct(cast(id as string) as instance_id, concat('é\n', id) as model_patch)) as value",
+    )
+    writers.write_prediction_tree(rows, f"file://{tmp_path}/tree")
+    got = readers.read_prediction_tree(spark, f"file://{tmp_path}/tree")
+    assert not got.inputFiles()
+    assert got.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert {(r.instance_id, r.model_patch) for r in got.collect()} == {(str(i), f"é\n{i}") for i in range(3000)}
+
+
+def test_prediction_tree_reads_what_the_file_reader_reads(spark, tmp_path, monkeypatch):
+    """Files of any depth, order and encoding, also right below the root; an unreadable one is left out."""
+    named = '{{"instance_id": "{0}", "model_patch": "ü"}}'
+    put(tmp_path, "prediction.json", named.format("top"))
+    put(tmp_path / "a" / "b" / "c", "prediction.json", f"[{named.format('x')}, {named.format('y')}]")
+    put(tmp_path / "a" / "b", "other.json", named.format("other"))
+    put(tmp_path / "blank é%20", "prediction.json", named.format("blank"))
+    put(tmp_path / "empty", "prediction.json", "")
+    for name, raw in {
+        "wide": named.format("wide").encode("utf-16-le"),
+        "broken": named.format("broken").encode("latin-1"),
+        "tail": named.format("tail").encode() + b"\n\n",
+        "typed": b'{"instance_id": "typed", "model_patch": {"a":1}}',
+    }.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "prediction.json").write_bytes(raw)
+    got = sorted(tuple(r) for r in readers.read_prediction_tree(spark, str(tmp_path)).collect())
+    assert [r[0] for r in got] == ["blank", "tail", "top", "typed", "wide", "x", "y"]
+    monkeypatch.setattr(readers, "_mounted", lambda *_: None)
+    assert got == sorted(tuple(r) for r in readers.read_prediction_tree(spark, str(tmp_path)).collect())
+
+
 def test_prompt_map_takes_the_last_line(spark, tmp_path):
     lines = [("a", "old"), ("a", "new"), ("b", ""), ("", "x"), ("c", "one")]
     text = "\n".join(json.dumps({"instance_id": i, "text_inputs": t}) for i, t in lines)
