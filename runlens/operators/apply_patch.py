@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from runlens.functions.patches import header_path
 from runlens.functions.text import let
 from runlens.operators.skew import join_replicated
+from runlens.session import materialize
 
 OLD, NEW = "--- ", "+++ "
 NOWHERE = "/dev/null"
@@ -241,7 +242,10 @@ def apply_sections(sections: DataFrame, bases: DataFrame, key: str) -> DataFrame
     """
     created = F.col("old_path") == NOWHERE
     wanted = sections.withColumn("path", F.when(created, F.col("new_path")).otherwise(F.col("old_path")))
-    joined = join_replicated(wanted, bases.select("repo", "commit", "path", "content"), ["repo", "commit", "path"])
+    # Stored, since the join counts its keys first: patches are taken apart once.
+    joined = join_replicated(
+        materialize(wanted, "sections"), bases.select("repo", "commit", "path", "content"), ["repo", "commit", "path"]
+    )
     base = F.when(created, F.array().cast(_TEXTS)).otherwise(whole_lines(F.col("content")))
     sound = F.forall("hunks", lambda h: h["sound"])
     ready = sound & (created == F.col("content").isNull())

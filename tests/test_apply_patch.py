@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from runlens.operators import apply_patch, skew, syntax
 from runlens.operators.hunks import last_sections
+from runlens.plans import QUERIES
 
 PATCH = "key long, repo string, commit string, patch_diff string"
 BASE = "repo string, commit string, path string, content string"
@@ -210,3 +211,36 @@ def test_reading_of_a_source(source, ending):
     assert found == ending
     if error is not None and error.lineno == 1:
         assert ("indent" in error.msg.lower()) == isinstance(error, IndentationError)
+
+
+def test_patches_are_taken_apart_once(spark):
+    """The join counts its keys before it joins; the sections must not be made for both."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    patches = spark.createDataFrame([(k, "r", "c", diff("a\n", "b\n")) for k in range(20)], PATCH)
+    read = patches.withColumn("patch_diff", F.udf(counted, "string")("patch_diff"))
+    bases = spark.createDataFrame([("r", "c", "f.py", "a\n")], BASE)
+    rows = apply_patch.apply_sections(apply_patch.patch_sections(read, "key"), bases, "key").collect()
+    assert {r["new_text"] for r in rows} == {"b\n"} and len(rows) == 20
+    assert seen.value == 20
+
+
+@pytest.mark.parametrize("name", ["syntax_check", "syntax_whole_file_errors"])
+def test_sources_are_read_once(spark, name):
+    """An emptiness test pushed below the parser made it run twice."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython [") == 1
+
+
+def test_patches_without_errors_have_no_reports(spark):
+    base = "x = 1\n"
+    cases = [(0, "r", "c", diff(base, "x = 2\n")), (1, "r", "c", diff(base, "x = (\n")), (2, "r", "c", None)]
+    verdicts = syntax.whole_file_verdicts(
+        spark.createDataFrame(cases, PATCH), spark.createDataFrame([("r", "c", "f.py", base)], BASE), "key"
+    )
+    (row,) = syntax.syntax_reports(verdicts, "key").collect()
+    assert (row["key"], row["file"], row["line"]) == (1, "f.py", 1)
