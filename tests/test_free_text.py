@@ -49,3 +49,9 @@ def test_texts_reach_the_parser_by_the_hundred(spark):
     for name in ("syntax_free_text", "syntax_whole_files"):
         plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_feedback_gets_its_texts_by_the_hundred(spark):
+    for name in ("syntax_feedback", "syntax_score", "syntax_check"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan, name
