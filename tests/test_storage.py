@@ -99,6 +99,13 @@ def test_prediction_tree_reads_what_the_file_reader_reads(spark, tmp_path, monke
     assert got == sorted(tuple(r) for r in readers.read_prediction_tree(spark, str(tmp_path)).collect())
 
 
+def test_prediction_tree_has_ids_of_any_name(spark, tmp_path):
+    for name in ("_a", ".b", "c=1"):
+        put(tmp_path / name, "prediction.json", json.dumps({"instance_id": name}))
+    got = readers.read_prediction_tree(spark, str(tmp_path)).collect()
+    assert sorted(r.instance_id for r in got) == [".b", "_a", "c=1"]
+
+
 def test_prompt_map_takes_the_last_line(spark, tmp_path):
     lines = [("a", "old"), ("a", "new"), ("b", ""), ("", "x"), ("c", "one")]
     text = "\n".join(json.dumps({"instance_id": i, "text_inputs": t}) for i, t in lines)
